@@ -15,12 +15,16 @@ columns are not read.
 from __future__ import annotations
 
 import itertools
+import json
+import string
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,38 +32,90 @@ from pyspark.sql import functions as F
 from .common import slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Distinct words whose ids a worker remembers.
-WORDS_KEPT = 200_000
+#: Distinct words and pieces of words whose ids a worker remembers.
+WORDS_KEPT, PIECES_KEPT = 400_000, 400_000
+#: ASCII marks that no contraction begins with.
+MARKS = string.punctuation.replace("'", "")
+#: What a tokenizer file says if its words can be taken one by one.
+WORDWISE = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "\\s+", "</w>")
 
 
-class WordIds:
-    """Token ids of texts, remembered by word.
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    The tokenizer's own splitter never joins text across a blank, so a text's ids
-    are those of its blank-separated parts in turn.  Other white space stays
-    inside a part and is left to the tokenizer.
+
+class WordIds(dict):
+    """Token ids of texts; each worker remembers those of words and of their pieces.
+
+    A wordwise tokenizer never joins text across a blank or a line feed, so a
+    text's ids are those of its parts in turn.  A part of plain Latin letters that
+    NFC leaves alone is lower-cased and split by the tokenizer's own pattern, and
+    each piece goes to its merge table; any other part goes to the tokenizer whole.
     """
 
+    shared: dict[str, WordIds] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        """The worker's own instance, which lasts from task to task."""
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        steps = lambda part, name: (told.get(part) or {}).get(name) or []
+        rules, splits = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
+        kinds = [r["type"] for r in rules], [r["type"] for r in splits]
+        self.wordwise = (*kinds, rules[1]["pattern"].get("Regex") if len(rules) > 1 else None, told["model"].get("end_of_word_suffix")) == WORDWISE
+        self.split = regex.compile(splits[0]["pattern"]["Regex"]) if self.wordwise else None
+        self.special = [t["content"] for t in told.get("added_tokens", ())]
+        self.pieces: dict[str, bytes] = {}
+        self.letters = byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        if not (word.isascii() or max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)) or "<" in word and any(s in word for s in self.special):
+            ids = self.whole(word)
+        else:
+            low = word.lower()
+            stem = low.rstrip(MARKS)  # most words are letters, and marks that make up one piece
+            split = (stem, low[len(stem) :]) if len(stem) < len(low) else (low,)
+            ids = b"".join(self.pieces.get(p) or self.piece(p) for p in (split if stem.isalpha() else self.split.findall(low)))
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= PIECES_KEPT:
+            self.pieces.clear()
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        if len(piece) < 64:
+            self.pieces[piece] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        parts = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        fresh = set(itertools.chain.from_iterable(parts)).difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > WORDS_KEPT:
-                self.known.clear()
-                fresh = set(itertools.chain.from_iterable(parts))
-            fresh = list(fresh)
-            for first in range(0, len(fresh), 4096):
-                some = fresh[first : first + 4096]
-                for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                    self.known[word] = tuple(got.ids)
-        look = self.known.__getitem__
-        return [np.fromiter(itertools.chain(itertools.chain.from_iterable(map(look, words)), (end,)), dtype="<u4") for words in parts]
+        """Each text's ids and then `end`."""
+        tail, look = np.array([end], "<u4").tobytes(), self.__getitem__
+        out = []
+        for text in texts:
+            text = text or ""
+            body = b"".join(map(look, text.replace("\n", " ").split(" "))) if self.wordwise else self.whole(text)
+            out.append(np.frombuffer(body + tail, "<u4"))
+        return out
 
 
 class Harmonic:
@@ -149,7 +205,7 @@ class Harmonic:
             yield from self.fill([heappop(self.waiting)[2]])
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", encoder: Callable = WordIds) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", encoder: Callable = WordIds.of) -> DataFrame:
     """One row per piece of a document; pieces of a sequence lie gapless from offset 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
