@@ -94,11 +94,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def emit(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as many times as it is sampled."""
-    turn = F.row_number().over(W.partitionBy("_id").orderBy("_hash", "source"))
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.xxhash64("text"))).withColumn("_hash", F.xxhash64("text"))
-    sized = marked.select("_id", "_hash", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("_turn", turn)
-    sized = settle(sized.select(F.struct("_id", "_turn").alias("key"), "source", "size"))
-    copies = sample(sized, **how).where("copies > 0").select(F.col("key._id").alias("_i"), F.col("key._turn").alias("_t"), "copies")
-    rows = marked.withColumn("_turn", turn)
-    joined = rows.join(copies, (rows["_id"] == copies["_i"]) & (rows["_turn"] == copies["_t"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    everything = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    # rows of one id are told apart by their text and source; equal rows may stand for each other
+    rows = docs.select(everything.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("id"), F.xxhash64(text).alias("hash"), source.alias("source"), word_count(text).alias("size"))
+    turn = F.row_number().over(W.partitionBy("id").orderBy("hash", "source"))
+    sized = settle(rows.select("id", "hash", "source", "size").withColumn("turn", turn).select(F.struct("id", "turn").alias("key"), "source", "size"))
+    copies = sample(sized, **how).where("copies > 0").select(F.col("key.id").alias("c_id"), F.col("key.turn").alias("c_turn"), "copies")
+    rows = rows.select("row", "id", "hash", "source").withColumn("turn", turn)
+    joined = rows.join(copies, (F.col("id") == F.col("c_id")) & (F.col("turn") == F.col("c_turn")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -259,3 +259,64 @@ def test_url_filter_mines_rules(spark):
     assert got[90].host == got[91].host == got[91].path == "" and got[92].rule is None and got[92].host == "net" and got[93].rule == "net/" and got[94].verdict == "block"
     assert {r.verdict for r in url_filter.judge(table, labels.where("doc_id < 0")).collect() if r.rule is None} == {"allow"}
     assert url_filter.judge(table.where("page_id < 0"), labels).count() == 0
+
+
+CLASHES = ["k1", "k2", "rest", "runs", "gram", "context", "place", "fp", "root", "row", "key", "size", "copies", "id", "hash", "turn", "part", "at", "w", "host", "declared", "f_lang", "_kept", "a.b"]
+
+
+def test_clashing_columns_and_stages(spark, docs, empty):
+    """Every stage gives the same with extra columns that have the operators' own names, and hands these on."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHES)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = stage(spark, docs, ""), stage(spark, wide, "")
+        assert plain.columns == docs.columns and plain.dtypes == docs.dtypes, name
+        assert more.columns == wide.columns, name
+        rows = lambda df: sorted(map(str, df.select(*docs.columns).collect()))
+        assert rows(plain) == rows(more), name
+        assert [r["a.b"] for r in more.limit(1).collect()] == [len(CLASHES) - 1]
+        assert stage(spark, empty, "").count() == 0
+    pieces = lambda df: corpus_pipeline.STAGES[-1][1](spark, df, "").drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct()
+    assert sorted(map(str, pieces(docs).collect())) == sorted(map(str, pieces(wide).collect()))
+    queries_of = (suffix_dedup.digests, license_scan.scan, langid.of_documents, mixing.mix, lambda d: iso_media.digests(iso_media.store_texts(d)), simhash.near_duplicates)
+    for f in queries_of:
+        assert sorted(map(str, f(docs).collect())) == sorted(map(str, f(wide).collect()))
+
+
+def test_very_long_text(spark):
+    r = random.Random(7)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(300_000))
+    rows = [(1, long + " under the MIT license", "en", "s"), (2, long[1_000_000:1_000_500], "en", "s"), (3, "x", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in suffix_dedup.digests(docs).collect()}
+    assert got[1].n_removed == got[2].n_removed == 500 and got[3].n_removed == 0
+    scan = {x.doc_id: x for x in license_scan.scan(docs).collect()}
+    assert scan[1].n_base == 1 and scan[1].first_word == scan[1].n_words - 4
+    assert {x.doc_id: x.payload_bytes for x in iso_media.digests(iso_media.store_texts(docs)).collect()}[1] >= len(long)
+    assert mixing.mix(docs).count() == simhash.near_duplicates(docs).count() == 3
+
+
+def test_pipeline_end_to_end(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = whole(spark, sf_dir)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage(spark, docs, sf_dir)
+        if name == "language_id":
+            assert docs.count() == before.count()
+        if name == "simhash":
+            groups = {c for *_, c in brute.components(pairs(before))}
+            assert {r.doc_id for r in docs.collect()} == groups
+        if name == "suffix_dedup":
+            cut = {i: n for i, _, n, *_ in brute.suffix_digests(pairs(before))}
+            for r, b in zip(docs.orderBy("doc_id").collect(), before.orderBy("doc_id").collect()):
+                assert 0 <= len(b.text.encode()) - len(r.text.encode()) <= cut[r.doc_id]
+        if name == "packing":
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+            assert brute.check_packing(docs.collect(), pairs(before), lambda t: tokenizer.encode(t, add_special_tokens=False).ids) == 0
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
