@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, iso_media, langid, license_scan, mixing, packing, simhash, suffix_dedup, topk, url_filter
+from . import html_text, iso_media, langid, license_scan, mixing, oracles, packing, simhash, suffix_dedup, topk, url_filter
 from .common import table
 
 
@@ -64,5 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the operators that DuckDB can express; the others are tested against brute force."""
-    return {}
+    return oracles.oracle_sql()
