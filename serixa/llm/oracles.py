@@ -14,6 +14,22 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+SUFFIX = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT doc_id, unnest(range(0, greatest(0, length(h) // 2 - 199), 100)) AS z, h FROM d),
+u AS (SELECT doc_id, z, substr(h, 2 * z + 1, 598) AS c FROM t),
+w AS (SELECT doc_id, z, unnest(range(0, least(100, length(c) // 2 - 199))) AS i, c FROM u),
+m AS (SELECT doc_id, z + i AS p, md5(substr(c, 2 * i + 1, 400)) AS k FROM w),
+twice AS (SELECT k FROM m GROUP BY k HAVING count(*) > 1),
+c AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM m SEMI JOIN twice USING (k)),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+s AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)"""
+
+
 def license_scan(slack: int = 3, share: float = 0.7) -> str:
     rows, k = [], GRAM
     for name, (words, label, exact) in enumerate([(p.split(), x, "true") for p, x in PHRASES.items()] + [(n.split(), x, "false") for x, n in NOTICES.items()]):
@@ -36,4 +52,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": TOPK, "op5_license_scan": license_scan()}
+    return {"op2_suffix_dedup": SUFFIX, "op3_topk_search": TOPK, "op5_license_scan": license_scan()}
