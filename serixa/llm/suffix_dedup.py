@@ -8,8 +8,9 @@ prefixes agree up to their start.
 
 1. Texts are dealt by document once; each anchor is passed on with the hash of its
    gram and of its context (all bytes of its windows).
-2. Anchors are dealt by gram, sorted and compared with their neighbours: grams
-   that occur once go, equal contexts are counted, and one of each stands for all.
+2. One anchor for each context of a batch is dealt by gram, sorted and compared with
+   its neighbours: grams that occur once go, equal contexts are counted, and one of
+   each stands for all.  So copies are no one task's, however many there are.
 3. The contexts' suffixes are range-partitioned by their leading bytes at sampled
    splitters.  A splitter never parts suffixes that agree in the gram, so what lies
    on either side of a boundary differs within it: comparing across boundaries
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .anchors import _MIX, _powers, anchors
 from .common import byte_views, shuffle_partitions
@@ -150,7 +152,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(key.alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), F.struct(*others).alias("rest"))
+    rows = docs.select(key.alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"))
     return rows.repartition(shuffle_partitions(docs.sparkSession), "k1", "k2")
 
 
@@ -171,9 +173,17 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
             g, c, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, np.repeat(k1, counts), np.repeat(k2, counts), p)], names=names)
 
+    def find_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One anchor for each context of a batch, and whether it has more: copies are gone before they are dealt."""
+        for batch in find(batches):
+            g, c = batch.column("gram").to_numpy(), batch.column("context").to_numpy()
+            by = np.lexsort((c, g))
+            first = np.append(True, (g[by][1:] != g[by][:-1]) | (c[by][1:] != c[by][:-1]))[: len(g)]
+            again = np.diff(np.append(np.flatnonzero(first), len(g))) > 1
+            yield batch.take(pa.array(by[first])).append_column("again", pa.array(again))
+
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted anchors with `whole` (its context repeats) and `stands` (first of its context, among several); lone grams go."""
-        kept = None
+        """The first of each context, with `whole` (the context repeats) and `stands` (its gram has others); lone ones go."""
         batches = iter(batches)
         batch = next(batches, None)
         last_seen = (None, None)  # gram and context before the rows in hand
@@ -188,15 +198,14 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
                 both_before = gram_before & np.append(c[0] == last_seen[1], c[1:] == c[:-1])
                 gram_after = np.append(g[1:] == g[:-1], g[-1] == ahead[0])
                 both_after = gram_after & np.append(c[1:] == c[:-1], c[-1] == ahead[1])
-                keep = gram_before | gram_after
                 # a gram with one context needs nobody to stand for it; of one that leaves the batch that isn't known
-                begins = np.append(True, g[1:] != g[:-1])
-                group = np.cumsum(begins) - 1
+                group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
                 several = np.bincount(group, ~both_before) > 1
                 several[0] |= bool(gram_before[0])
                 several[-1] |= bool(gram_after[-1])
-                out = batch.append_column("whole", pa.array(both_before | both_after)).append_column("stands", pa.array(~both_before & several[group]))
-                yield out.filter(pa.array(keep))
+                whole = both_after | batch.column("again").to_numpy(zero_copy_only=False)
+                out = batch.drop_columns(["again"]).append_column("whole", pa.array(whole)).append_column("stands", pa.array(several[group]))
+                yield out.filter(pa.array(~both_before & (whole | several[group])))
                 last_seen = (g[-1], c[-1])
             batch = after
 
@@ -236,29 +245,27 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         yield pa.RecordBatch.from_arrays([got["gram"].combine_chunks().take(take), got["context"].combine_chunks().take(take), lists], names=["s_gram", "s_context", "windows"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Byte runs of each anchor's repeated windows."""
+        """Byte runs of each anchor's repeated windows; null stands for all of them."""
         for batch in batches:
             first = batch.column("place").to_numpy() >> 16
             more = batch.column("place").to_numpy() & 255
-            whole = batch.column("whole").to_numpy(zero_copy_only=False)
-            runs = []
-            for a, m, w, own in zip(first.tolist(), more.tolist(), whole.tolist(), batch.column("windows").to_pylist()):
-                if w:
-                    runs.append([a, a + m + span])
-                else:
-                    runs.append([x for b, e in zip(own[::2], own[1::2]) for x in (a + b, a + e + span)] if own else [])
-            some = pa.array([bool(r) for r in runs])
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(runs, pa.list_(pa.int32()))], names=["k1", "k2", "runs"]).filter(some)
-
-    found = dealt.select("k1", "k2", "text", "rest").mapInArrow(find, places)
-    sorted_ = found.repartition(parts, "gram").sortWithinPartitions("gram", "context", "k1", "k2", "place")
-    shared = sorted_.mapInArrow(neighbours, places + ", whole boolean, stands boolean")
+            runs = [
+                [a, a + m + span] if own is None else [x for b, e in zip(own[::2], own[1::2]) for x in (a + b, a + e + span)]
+                for a, m, own in zip(first.tolist(), more.tolist(), batch.column("windows").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(runs, pa.list_(pa.int32()))], names=["k1", "k2", "runs"])
+
+    texts = dealt.select("k1", "k2", "text", "rest")  # the same columns wherever it is used, so it is dealt once
+    dealt_grams = texts.mapInArrow(find_distinct, places + ", again boolean").repartition(parts, "gram").sortWithinPartitions("gram", "context", "k1", "k2", "place")
+    shared = dealt_grams.mapInArrow(neighbours, places + ", whole boolean, stands boolean")
     stand = shared.where("stands").select("gram", "context", F.col("k1").alias("s1"), F.col("k2").alias("s2"), "place", "whole")
-    once = dealt.select("k1", "k2", "text", "rest").join(stand, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("gram", "context", "place", "whole", "text")
-    suffixes = once.mapInArrow(contexts, "gram long, context long, lead long, more long, whole boolean, suffix binary, bytes binary")
+    held = texts.join(stand, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("gram", "context", "place", "whole", "text", "rest")
+    suffixes = held.mapInArrow(contexts, "gram long, context long, lead long, more long, whole boolean, suffix binary, bytes binary")
     judged = suffixes.repartitionByRange(parts, "suffix").mapInArrow(bucket, "s_gram long, s_context long, windows array<int>")
-    back = shared.join(judged, (F.col("gram") == F.col("s_gram")) & (F.col("context") == F.col("s_context")), "left")
-    back = back.select("k1", "k2", "place", "whole", "windows").mapInArrow(spread, "k1 long, k2 long, runs array<int>")
+    verdicts = shared.where("whole").select(F.col("gram").alias("s_gram"), F.col("context").alias("s_context"), F.lit(None).cast("array<int>").alias("windows")).union(judged)
+    members = texts.mapInArrow(find, places)
+    back = members.join(verdicts, (F.col("gram") == F.col("s_gram")) & (F.col("context") == F.col("s_context")))
+    back = back.select("k1", "k2", "place", "windows").mapInArrow(spread, "k1 long, k2 long, runs array<int>")
     return back.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
@@ -329,7 +336,6 @@ def cut(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], schema=pa.schema([pa.field("text", pa.string()), batch.schema.field("rest")]))
 
     found = marked(docs, span, gram)
-    rest = found.schema["rest"].dataType.simpleString()
-    done = found.mapInArrow(run, f"text string, rest {rest}")
+    done = found.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), found.schema["rest"]]))
     columns = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns]
     return done.select(*columns)
