@@ -54,6 +54,18 @@ def test_suffix_dedup(spark, docs, empty, sf_dir):
     assert sorted(map(tuple, found), key=str) == brute.suffix_digests(pairs(whole(spark, sf_dir)))
 
 
+@pytest.mark.parametrize(("span", "gram", "letters"), [(20, 6, "ab"), (16, 16, "abc"), (40, 12, "aaab"), (256, 48, "ab")])
+def test_suffix_dedup_of_dense_repeats(spark, span, gram, letters):
+    """Few letters, so that anchors tie, runs overlap and most windows repeat somewhere."""
+    r = random.Random(span)
+    rows = [(i, "".join(r.choice(letters) for _ in range(r.randint(0, 400)))) for i in range(80)]
+    rows += [(100 + i, (rows[i][1] + rows[i + 1][1])[r.randint(0, 60) :]) for i in range(40)]
+    rows += [(200 + i, r.choice("ab") * r.randint(0, 500) + "b" * r.randint(0, 90)) for i in range(20)]
+    rows += [(300 + i, "abcabcab" * r.randint(0, 60)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, suffix_dedup.digests(docs, span, gram).collect()), key=str) == brute.suffix_digests(rows, span)
+
+
 def test_suffix_cut_keeps_characters(docs, empty):
     out = suffix_dedup.cut(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and suffix_dedup.cut(empty).count() == 0
