@@ -16,7 +16,9 @@ prefixes agree up to their start.
    on either side of a boundary differs within it: comparing across boundaries
    needs the gram alone.  Each bucket sorts its suffixes, and its reversed prefixes,
    by multikey quicksort over 8-byte words, and reads the common lengths of
-   neighbours; for each offset, the anchors that agree on both sides repeat.
+   neighbours; for each offset, the anchors that agree on both sides repeat.  A gram
+   with more than CROWD different contexts is no bucket's: its windows are dealt
+   one by one, by a 128-bit hash, and counted.
 4. The repeated windows go back to every anchor with that context, and their runs
    to the documents.
 
@@ -40,6 +42,8 @@ from .anchors import _MIX, _powers, anchors
 from .common import byte_views, shuffle_partitions
 
 SPAN, GRAM = 200, 48
+#: Contexts of one gram that a bucket sorts; a gram with more is dealt by window instead.
+CROWD = 100_000
 NO_ID = -(1 << 63)
 
 
@@ -156,7 +160,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.repartition(shuffle_partitions(docs.sparkSession), "k1", "k2")
 
 
-def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(k1, k2, runs): flat start, end, start, end, ... of the repeated bytes of keyed texts."""
     if not gram <= span <= 256:
         raise ValueError("spans are gram to 256 bytes")
@@ -244,6 +248,17 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         take = pa.array(who)
         yield pa.RecordBatch.from_arrays([got["gram"].combine_chunks().take(take), got["context"].combine_chunks().take(take), lists], names=["s_gram", "s_context", "windows"])
 
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every window of a context by a 128-bit hash, for grams with too many contexts for a bucket."""
+        for batch in batches:
+            keys, owner, at = [], [], []
+            for i, (data, m) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("more").to_pylist())):
+                keys += [hashlib.blake2b(data[w : w + span], digest_size=16).digest() for w in range(m + 1)]
+                owner += [i] * (m + 1)
+                at += range(m + 1)
+            take = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("gram").take(take), batch.column("context").take(take), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], names=["gram", "context", "window", "key"])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Byte runs of each anchor's repeated windows; null stands for all of them."""
         for batch in batches:
@@ -259,9 +274,19 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     dealt_grams = texts.mapInArrow(find_distinct, places + ", again boolean").repartition(parts, "gram").sortWithinPartitions("gram", "context", "k1", "k2", "place")
     shared = dealt_grams.mapInArrow(neighbours, places + ", whole boolean, stands boolean")
     stand = shared.where("stands").select("gram", "context", F.col("k1").alias("s1"), F.col("k2").alias("s2"), "place", "whole")
-    held = texts.join(stand, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("gram", "context", "place", "whole", "text", "rest")
-    suffixes = held.mapInArrow(contexts, "gram long, context long, lead long, more long, whole boolean, suffix binary, bytes binary")
-    judged = suffixes.repartitionByRange(parts, "suffix").mapInArrow(bucket, "s_gram long, s_context long, windows array<int>")
+    crowds = stand.groupBy("gram").count().where(F.col("count") > crowd).select("gram")
+
+    def suffixes(chosen: DataFrame) -> DataFrame:
+        held = texts.join(chosen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("gram", "context", "place", "whole", "text", "rest")
+        return held.mapInArrow(contexts, "gram long, context long, lead long, more long, whole boolean, suffix binary, bytes binary")
+
+    few, many = suffixes(stand.join(crowds, "gram", "left_anti")), suffixes(stand.join(crowds, "gram", "left_semi"))
+    judged = few.repartitionByRange(parts, "suffix").mapInArrow(bucket, "s_gram long, s_context long, windows array<int>")
+    loose = many.mapInArrow(windows_of, "gram long, context long, window int, key binary")
+    twice = loose.groupBy("key").count().where("count > 1").select("key")
+    run = F.flatten(F.transform(F.array_sort(F.collect_list("window")), lambda w: F.array(w, w)))
+    dealt_windows = loose.join(twice, "key", "left_semi").groupBy("gram", "context").agg(run.alias("windows"))
+    judged = judged.union(dealt_windows)
     verdicts = shared.where("whole").select(F.col("gram").alias("s_gram"), F.col("context").alias("s_context"), F.lit(None).cast("array<int>").alias("windows")).union(judged)
     members = texts.mapInArrow(find, places)
     back = members.join(verdicts, (F.col("gram") == F.col("s_gram")) & (F.col("context") == F.col("s_context")))
@@ -280,17 +305,17 @@ def merge(runs: list[int] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def marked(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marked(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """(text, rest, runs) of every document; rest holds its other columns."""
     dealt = keyed(docs, id_col, text_col)
-    runs = repeats(dealt, span, gram).withColumnsRenamed({"k1": "r1", "k2": "r2"})
+    runs = repeats(dealt, span, gram, crowd).withColumnsRenamed({"k1": "r1", "k2": "r2"})
     return dealt.join(runs, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select("text", "rest", "runs")
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of the bytes that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +336,7 @@ def digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in DIGEST.split(", ")])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return marked(slim, span, gram).select(F.col("rest.doc_id").alias("doc_id"), "text", "runs").mapInArrow(run, DIGEST)
+    return marked(slim, span, gram, crowd=crowd).select(F.col("rest.doc_id").alias("doc_id"), "text", "runs").mapInArrow(run, DIGEST)
 
 
 def cut(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:

@@ -63,7 +63,8 @@ def test_suffix_dedup_of_dense_repeats(spark, span, gram, letters):
     rows += [(200 + i, r.choice("ab") * r.randint(0, 500) + "b" * r.randint(0, 90)) for i in range(20)]
     rows += [(300 + i, "abcabcab" * r.randint(0, 60)) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted(map(tuple, suffix_dedup.digests(docs, span, gram).collect()), key=str) == brute.suffix_digests(rows, span)
+    for crowd in (suffix_dedup.CROWD, 3):
+        assert sorted(map(tuple, suffix_dedup.digests(docs, span, gram, crowd).collect()), key=str) == brute.suffix_digests(rows, span)
 
 
 def test_suffix_cut_keeps_characters(docs, empty):
