@@ -163,3 +163,31 @@ def crc32_documents(spark, sf_dir):
 
 
 QUERIES["crc32_documents"] = crc32_documents
+
+
+def tag_counters(spark, sf_dir):
+    """(series_id, codec, tag, n): how the program and clock codecs covered each series; counters are each call's own."""
+    from collections import Counter
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from ..operators.codecs import peers, residual
+
+    names = {peers.HOLD: "hold", peers.RAMP: "ramp", peers.RECALL: "recall", peers.RAW: "raw"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, data in zip(batch.column("series_id").to_pylist(), batch.column("data").to_pylist()):
+                programs, clock, x = Counter(), Counter(), residual.samples(data)
+                peers.proglz_encode(x, programs)
+                peers.schulduhr_encode(x, clock)
+                rows += [(key, "proglz", names[t], n) for t, n in programs.items()] + [(key, "schulduhr", t, n) for t, n in clock.items()]
+            columns_ = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["series_id", "codec", "tag", "n"])
+
+    return columns.series_bytes(plateaus(spark, sf_dir)).mapInArrow(run, "series_id long, codec string, tag string, n long")
+
+
+QUERIES["tag_counters"] = tag_counters

@@ -203,3 +203,83 @@ def corpus_ratios_published(spark, sf_dir):
 
 
 _add("corpus_ratios_published", corpus_ratios_published, "SELECT * FROM (VALUES " + ", ".join(f"({a!r}, {b!r}, {c}::BIGINT, {d}::BIGINT, true)" for a, b, c, d in PUBLISHED) + ") t(corpus, codec, orig, coded, intact)")
+
+
+def ratio_lines_scan(spark, sf_dir):
+    """The ratio table printed as a harness's lines and read back from them."""
+    from ..sources import scans, sinks
+
+    return scans.ratio_lines(sinks.fixed_width(ratio_rows(spark, sf_dir)))
+
+
+_add("ratio_lines_scan", ratio_lines_scan, f"WITH {RATIOS} SELECT corpus, codec, orig, coded, printf('%.1f%%', round(100.0::DOUBLE * coded / orig, 1)) AS ratio FROM ratios")
+
+
+def record_kinds(spark, sf_dir):
+    """How many zero, packed and stored records the suppliers' deployable streams have."""
+    from .series_queries import plateaus
+
+    keys = ("series_id", "chunk")
+    records = sizes.packed_bits(sizes.blocks(transforms.delta(plateaus(spark, sf_dir)), tile=sizes.CHUNK), keys)
+    packed = sizes.whole_bytes(F.col("bits"))
+    kind = F.when(F.col("all_zero"), "zero").when((packed < 2 * F.col("samples")) & (packed <= 255), "packed").otherwise("stored")
+    return longs(records.groupBy(kind.alias("kind")).agg(F.count("*").alias("records"), F.sum("samples").alias("samples")))
+
+
+_add(
+    "record_kinds",
+    record_kinds,
+    f"""WITH {sql.SUPPLIER_SERIES}, st AS (SELECT series_id, idx, CASE WHEN (idx // 64) % 3 = 0 THEN x ELSE 7 END AS x FROM li), {sql.residuals("st")}, {sql.packed("series_id, chunk", "chunk")}
+SELECT CASE WHEN all_zero THEN 'zero' WHEN (bits + 7) // 8 < 2 * samples AND (bits + 7) // 8 <= 255 THEN 'packed' ELSE 'stored' END AS kind, count(*) AS records, CAST(sum(samples) AS BIGINT) AS samples FROM p GROUP BY 1""",
+)
+
+
+def focus_peers(spark, sf_dir):
+    """Coded bytes of the focus corpora under each codec, one column a codec."""
+    focus = ["timeseries_16k", "joint_7axis_1khz_10s", "harness128"]
+    rows = corpus_ratios(spark, sf_dir).where(F.col("corpus").isin(focus))
+    return rows.groupBy("corpus").pivot("codec", ["core", "sprintz_d", "drh", "proglz", "schulduhr"]).agg(F.first("coded"))
+
+
+_add(
+    "focus_peers",
+    focus_peers,
+    "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([repr(n), *(f"{next(d for a, b, _, d in PUBLISHED if (a, b) == (n, c))}::BIGINT" for c in ("core", "sprintz_d", "drh", "proglz", "schulduhr"))]) + ")" for n in ("timeseries_16k", "joint_7axis_1khz_10s", "harness128")) + ") t(corpus, core, sprintz_d, drh, proglz, schulduhr)",
+)
+
+
+def host_timing(spark, sf_dir, corpus: str = "timeseries_16k", loops: int = 5, warm: int = 1):
+    """(codec, orig, coded, enc_ns_med, dec_ns_med, enc_mb_s, dec_mb_s): upper medians over loops, one codec a task."""
+    import time
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from ..operators.codecs import CODECS
+
+    data = generators.CORPORA[corpus]()
+    schema = "codec string, orig long, coded long, enc_ns_med long, dec_ns_med long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def median(f) -> int:
+            spans = []
+            for _ in range(warm + loops):
+                began = time.perf_counter_ns()
+                f()
+                spans.append(time.perf_counter_ns() - began)
+            return sorted(spans[warm:])[loops // 2]
+
+        for batch in batches:
+            for codec in batch.column("codec").to_pylist():
+                encode, decode = CODECS[codec]
+                payload = encode(data)
+                row = [codec, len(data), len(payload), median(lambda: encode(data)), median(lambda: decode(payload))]  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=[c.split()[0] for c in schema.split(", ")])
+
+    codecs = ["core_deployable", "core", "sprintz_d", "drh", "proglz", "schulduhr"]
+    rows = spark.createDataFrame([(c,) for c in codecs], "codec string").repartition(len(codecs), "codec").mapInArrow(run, schema)
+    rate = lambda ns: F.col("orig") / (1 << 20) / (F.col(ns) / 1e9)
+    return rows.withColumn("enc_mb_s", rate("enc_ns_med")).withColumn("dec_mb_s", rate("dec_ns_med"))
+
+
+_add("host_timing", host_timing, None)
