@@ -214,16 +214,22 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
             batch = after
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of each context that stands for others, from one row per text."""
         for batch in batches:
             offsets, data = byte_views(batch.column("text"))
-            place = batch.column("place").to_numpy()
-            # rows that are repeated meet each stand-in many times over; one is enough
-            _, one = np.unique(np.stack([batch.column("gram").to_numpy(), batch.column("context").to_numpy()]), axis=1, return_index=True)
-            batch, place, offsets = batch.take(pa.array(one)), place[one], np.stack([offsets[:-1][one], offsets[1:][one]])
+            lists = batch.column("held")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            # rows that are repeated hold each stand-in many times over; one is enough
+            keys = np.stack([flat.field(c).to_numpy() for c in ("gram", "context")])
+            _, one = np.unique(keys, axis=1, return_index=True)
+            flat, owner = flat.take(pa.array(one)), owner[one]
+            place = flat.field("place").to_numpy()
             first, lead, more = place >> 16, place >> 8 & 255, place & 255
-            bytes_ = [data[o + a : o + a + m + span].tobytes() for o, a, m in zip(offsets[0].tolist(), first.tolist(), more.tolist())]
+            begin = offsets[:-1][owner] + first
+            bytes_ = [data[o : o + m + span].tobytes() for o, m in zip(begin.tolist(), more.tolist())]
             at = [b[x : x + gram] for b, x in zip(bytes_, lead.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("context"), pa.array(lead), pa.array(more), batch.column("whole"), pa.array(at, pa.binary()), pa.array(bytes_, pa.binary())], names=["gram", "context", "lead", "more", "whole", "suffix", "bytes"])
+            yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("context"), pa.array(lead), pa.array(more), flat.field("whole"), pa.array(at, pa.binary()), pa.array(bytes_, pa.binary())], names=["gram", "context", "lead", "more", "whole", "suffix", "bytes"])
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -277,7 +283,9 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
     crowds = stand.groupBy("gram").count().where(F.col("count") > crowd).select("gram")
 
     def suffixes(chosen: DataFrame) -> DataFrame:
-        held = texts.join(chosen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("gram", "context", "place", "whole", "text", "rest")
+        # one row per text, so that a long text with many anchors is handed over once
+        chosen = chosen.groupBy("s1", "s2").agg(F.collect_list(F.struct("gram", "context", "place", "whole")).alias("held"))
+        held = texts.join(chosen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("held", "text", "rest")
         return held.mapInArrow(contexts, "gram long, context long, lead long, more long, whole boolean, suffix binary, bytes binary")
 
     few, many = suffixes(stand.join(crowds, "gram", "left_anti")), suffixes(stand.join(crowds, "gram", "left_semi"))
