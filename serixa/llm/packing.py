@@ -33,7 +33,7 @@ from .common import slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct words and pieces of words whose ids a worker remembers.
-WORDS_KEPT, PIECES_KEPT = 400_000, 400_000
+WORDS_KEPT, PIECES_KEPT = 250_000, 300_000
 #: ASCII marks that no contraction begins with.
 MARKS = string.punctuation.replace("'", "")
 #: What a tokenizer file says if its words can be taken one by one.
