@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from serixa.llm import langid, mixing, packing, simhash, suffix_dedup
+from serixa.llm import langid, mixing, near_copies, packing, suffix_dedup
 from serixa.llm.queries import tokenizer_path
 
 
@@ -14,8 +14,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
