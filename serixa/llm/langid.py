@@ -9,7 +9,10 @@ share is taken out of its host's sum, so it is no evidence for itself.
 
 Defined results: a null or empty text, or one without a letter, has no text
 evidence; its language then comes from the declaration and the priors, and it is
-not accepted.  A null or unknown declaration, suffix or host is no evidence.
+not accepted.  Nor is a text whose trigrams without digits are, in the likeliest
+language, less likely than if all were alike (gibberish and languages outside the
+set), or are under a tenth of all.  A text under three bytes has no trigram to go by, and
+a sample of fewer trigrams than buckets rejects no text so.  A null or unknown declaration, suffix or host is no evidence.
 Repeated rows get a row each; an empty table gives no rows; without any labelled
 row there is no language to tell, and all languages are null and not accepted.
 """
@@ -29,6 +32,12 @@ from .common import byte_views, settle
 BUCKETS = 1 << 16
 #: A text's evidence counts as that of this many trigrams at most, since neighbours depend on each other.
 EVIDENCE = 200.0
+#: The share of each language's likelihood that is spread over all buckets alike.
+SPREAD = 0.02
+#: The least mean log-likelihood a trigram, against all being alike, that counts as known text.
+FLOOR = 0.0
+#: The least share of trigrams without a digit; what is figures all over tells no language.
+WORDED = 0.1
 _STRIDE = np.uint32(0x9E3779B1)
 
 
@@ -41,35 +50,45 @@ def trigram_buckets(data: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Log-likelihood ratios of the trigram buckets, each against the mean of all languages."""
+    """Log-likelihoods of the trigram buckets by language, each against all buckets being alike."""
 
-    def __init__(self, languages: list[str], ratios: np.ndarray):
-        self.languages, self.ratios = languages, ratios
+    def __init__(self, languages: list[str], ratios: np.ndarray, trigrams: int):
+        self.languages, self.ratios, self.trigrams = languages, ratios, trigrams
 
     @classmethod
     def fit(cls, texts: list[str | None], labels: list[str]) -> Model:
         languages = sorted(set(labels))
-        counts = np.full((len(languages), BUCKETS), 0.5)
+        counts = np.zeros((len(languages), BUCKETS))
         for text, label in zip(texts, labels):
             data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
             if len(data) > 2:
                 counts[languages.index(label)] += np.bincount(trigram_buckets(data), minlength=BUCKETS)
-        logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-        return cls(languages, (logs - logs.mean(axis=0)).T.astype(np.float32).copy() if languages else np.zeros((BUCKETS, 0), np.float32))
-
-    def scores(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: tempered log-likelihoods by language, and whether it has a letter."""
-        out, letters = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1, bool)
-        letter = np.zeros(256, bool)
+        # what no language has seen speaks for none, whatever their samples' sizes
+        shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        return cls(languages, np.log((1 - SPREAD) * BUCKETS * shares + SPREAD).T.astype(np.float32).copy(), int(counts.sum()))
+
+    def scores(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: tempered log-likelihoods by language, whether it has a letter, and whether it is known text."""
+        size = len(offsets) - 1
+        out, letters, known = np.zeros((size, len(self.languages))), np.zeros(size, bool), np.ones(size, bool)
+        letter, digit = np.zeros(256, bool), np.zeros(256, bool)
         letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+        digit[48:58] = True
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             letters[i] = letter[data[a:b]].any()
             if b - a > 2:
                 total, n = np.zeros(len(self.languages)), b - a - 2
+                worded, w = np.zeros(len(self.languages)), 0
                 for at in range(a, b - 2, 1 << 16):  # pieces of one text; all of it counts
-                    total += self.ratios[trigram_buckets(data[at : min(b, at + (1 << 16) + 2)])].sum(axis=0, dtype=np.float64)
+                    piece = data[at : min(b, at + (1 << 16) + 2)]
+                    each, plain = self.ratios[trigram_buckets(piece)], ~digit[piece]
+                    plain = plain[:-2] & plain[1:-1] & plain[2:]
+                    total += each.sum(axis=0, dtype=np.float64)
+                    worded += plain.astype(np.float32) @ each
+                    w += int(plain.sum())
                 out[i] = total / n * min(n, EVIDENCE)
-        return out, letters
+                known[i] = self.trigrams < BUCKETS or w >= WORDED * n and worded.max(initial=-np.inf) / w >= FLOOR
+        return out, letters, known
 
 
 def fit_sample(labelled: DataFrame, sample_rows: int) -> Model:
@@ -105,15 +124,15 @@ def identify(rows: DataFrame, model: Model, trust: float = 0.9, weight: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = byte_views(batch.column("text"))
-            logs, letters = model.scores(offsets, data)
+            logs, letters, known = model.scores(offsets, data)
             odds = np.exp(logs - logs.max(axis=1, keepdims=True, initial=-np.inf)) if names else logs
             shares = odds / odds.sum(axis=1, keepdims=True) if names else odds
             as_list = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), max(len(names), 1)).cast(pa.list_(pa.float64())) if names else pa.array([[]] * len(x), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "declared", "suffix", "host")), as_list(logs), as_list(shares), pa.array(letters)], names=["id", "declared", "suffix", "host", "logs", "shares", "letters"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "declared", "suffix", "host")), as_list(logs), as_list(shares), pa.array(letters), pa.array(known)], names=["id", "declared", "suffix", "host", "logs", "shares", "letters", "known"])
 
     blank = lambda c: F.when(F.trim(F.col(c)) != "", F.lower(F.trim(F.col(c))))
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), blank("declared").alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"))
-    told = settle(rows.mapInArrow(run, "id long, declared string, suffix string, host string, logs array<double>, shares array<double>, letters boolean"))
+    told = settle(rows.mapInArrow(run, "id long, declared string, suffix string, host string, logs array<double>, shares array<double>, letters boolean, known boolean"))
     if not names:
         return told.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"), "declared")
     size = range(len(names))
@@ -139,7 +158,7 @@ def identify(rows: DataFrame, model: Model, trust: float = 0.9, weight: float =
         other = math.log((1 - trust) / max(len(names) - 1, 1)) if len(names) > 1 else 0.0
         said = F.when(F.col("declared") == name, math.log(trust)).when(F.col("declared").isin(names), other).otherwise(0.0)
         fused.append(F.col("logs")[i] + F.log(prior) + said)
-    out = joined.select("id", "declared", "letters", "shares", F.array(*fused).alias("fused"))
+    out = joined.select("id", "declared", "letters", "known", "shares", F.array(*fused).alias("fused"))
     top = F.array_max("fused")
     pick = lambda values, best: F.element_at(F.array(*map(F.lit, names)), F.array_position(values, best).cast("int"))
     sure = F.lit(1.0) / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("fused")))
@@ -148,7 +167,7 @@ def identify(rows: DataFrame, model: Model, trust: float = 0.9, weight: float =
         pick(F.col("fused"), top).alias("lang"),
         sure.alias("confidence"),
         F.when(F.col("letters"), pick(F.col("shares"), F.array_max("shares"))).alias("text_lang"),
-        (F.col("letters") & (sure >= least)).alias("accepted"),
+        (F.col("letters") & F.col("known") & (sure >= least)).alias("accepted"),
         "declared",
     )
 
