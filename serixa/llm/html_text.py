@@ -23,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.S)
+# Quotes delimit a value directly after = only; elsewhere they are part of a name or an unquoted value.
+_B = r"[ \t\n\r\f]*+"
+TAG = re.compile(
+    rf"""<(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:{_B}={_B}(?:"[^"]*"|'[^']*'|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+|(?=>))|(?!{_B}=)))*+)>"""
+)
+ATTRIBUTE = re.compile(rf"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_B}={_B}(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|$))?""")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
 
