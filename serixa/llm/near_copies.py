@@ -113,8 +113,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFr
     shared = settle(buckets(nodes.select("node", "n", "bands")))
     sized = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similarity
     # one text of each node in a bucket
-    wanted = marked.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("hash").alias("w_hash"))
-    texts = rows.select("hash", "text").join(wanted, F.col("hash") == F.col("w_hash")).select("node", "text").dropDuplicates(["node"])
+    wanted = marked.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("w"))
+    wanted = wanted.select("node", F.col("w.id").alias("w_id"), F.col("w.hash").alias("w_hash"))
+    texts = rows.select("id", "hash", "text").join(wanted, (F.col("id") == F.col("w_id")) & (F.col("hash") == F.col("w_hash"))).select("node", "text").dropDuplicates(["node"])
     sets = settle(shingle_sets(texts, words))
     star = shared.where((F.col("node") != F.col("first")) & sized("n", "first_n")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = settle(verified(star, sets, similarity))
