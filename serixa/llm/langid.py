@@ -187,10 +187,11 @@ def of_pages(pages: DataFrame, model: Model, text: Column) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """The documents whose language is told; lang becomes what was found.  Documents without an id are kept as they are."""
-    found = of_documents(docs, sample_rows).where(F.col("accepted") & F.col("doc_id").isNotNull())
-    found = found.groupBy(F.col("doc_id").alias("f_id")).agg(F.max_by("lang", "confidence").alias("f_lang"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    joined = rows.join(found, F.col("row.doc_id") == F.col("f_id"))
-    kept = joined.select(F.col("row").withField("lang", F.col("f_lang")).alias("row")).select("row.*")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents whose language is told; lang becomes what was found.  Ids may be null or repeated."""
+    # all that a row is judged by; rows of one key are judged alike
+    key = F.xxhash64(F.struct("doc_id", "text", "lang", "source"))
+    found = of_documents(docs.select(key.alias("doc_id"), "text", "lang", "source"), sample_rows).where("accepted")
+    found = found.groupBy(F.col("doc_id").alias("f_key")).agg(F.max_by("lang", "confidence").alias("f_lang"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    joined = rows.join(found, F.col("key") == F.col("f_key"))
+    return joined.select(F.col("row").withField("lang", F.col("f_lang")).alias("row")).select("row.*")

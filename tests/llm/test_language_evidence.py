@@ -34,3 +34,9 @@ def test_unseen_trigrams_favour_no_language():
 
     logs, *_ = model.scores(np.array([0, len(data)]), np.frombuffer(data, np.uint8))
     assert abs(logs[0, 0] - logs[0, 1]) < 1e-6
+
+
+def test_null_and_repeated_ids_are_judged(spark):
+    rows = [(None, "12 34", "en", "s", 5), (None, "the thing", "en", "s", 9), (1, "56 78", "en", "s", 5), (1, "the other", "en", "s", 9)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", "the other"), ("None", "the thing")]
