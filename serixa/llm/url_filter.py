@@ -106,16 +106,14 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame:
     """(page_id, host, path, rule, verdict, matched, confidence).
 
-    A page that a declared rule decides is labelled by it.  Of the others, labels
-    (doc_id, quality, toxic) speak of the page with that id: low quality or toxic is
-    to be blocked.  Urls are judged once each and joined back.
+    Rules are mined from labels (doc_id, quality, toxic) only, which speak of the page
+    with that id: low quality or toxic is to be blocked.  Declared verdicts are no labels:
+    they would give the declared rules again, for pages that these don't cover.  Urls are judged once each and joined back.
     """
     url = F.col("url").cast("string")
     distinct = settle(pages.select(url.alias("url")).distinct().select("url", tokens(url).alias("items")))
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
-    decided = declared(host_column(url), path_column(url), rules)[1]
-    known = pages.select("page_id", tokens(url).alias("items"), decided.alias("decided")).join(marks, F.col("page_id") == F.col("l_id"), "left")
-    known = known.withColumn("bad", F.coalesce((F.col("decided") == "block").cast("int"), "bad")).where(F.col("bad").isNotNull())
+    known = pages.select("page_id", tokens(url).alias("items")).join(marks, F.col("page_id") == F.col("l_id")).where(F.col("bad").isNotNull())
     mined = mine(known.select("items", (F.col("bad") == 1).alias("bad")), **how)
     found = match(distinct.select(F.col("url").alias("row"), "items"), mined)
     host, path = host_column(url), path_column(url)
