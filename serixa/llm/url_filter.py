@@ -78,7 +78,7 @@ def mine(labelled: DataFrame, least_support: float = 0.002, least_rows: int = 8,
     rows = labelled.select(F.concat("items", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=shuffle_partitions(spark)).fit(rows)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    rules = rules.where((F.col("lift") >= lift) & ~F.array_contains("antecedent", GOOD) & (F.size("antecedent") <= 6))
+    rules = rules.where((F.col("lift") >= lift) & ~F.array_contains("antecedent", GOOD))
     rules = settle(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
     # a longer rule goes where one within it is as sure: every proper subset of one token less is looked up
     subsets = rules.where(F.size("antecedent") > 1).select(

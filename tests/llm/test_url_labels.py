@@ -11,3 +11,11 @@ def test_declared_verdicts_are_no_labels(spark):
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
     assert all(got[i].verdict == "block" and got[i].rule == "example.com/de/" for i in range(60))
     assert all(got[i].verdict == "allow" and got[i].matched is None for i in got if i >= 100)
+
+
+def test_rules_of_many_tokens(spark):
+    """Only all seven tokens together are sure: any six of them stand as often in good urls."""
+    names = [f"t{i}" for i in range(7)]
+    rows = [(names, True)] * 40 + [([t for t in names if t != out], False) for out in names for _ in range(15)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "items array<string>, bad boolean")).collect()
+    assert [(r.antecedent, r.confidence) for r in mined] == [(names, 1.0)]
