@@ -65,3 +65,27 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         last = min(max(last, first + 1), batch.num_rows)
         yield batch.slice(first, last - first)
         first = last
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 14) -> Iterator[pa.Table]:
+    """Sorted batches as tables of at least `least` rows, the last one aside, that part no run of equal keys."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        last = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+        same = np.ones(batch.num_rows, bool)
+        for k, v in zip(keys, last):
+            same &= batch.column(k).to_numpy(zero_copy_only=False) == v
+        tail = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if not tail:
+            continue  # one run so far fills the batch; what came before it goes with it
+        yield pa.Table.from_batches([*held[:-1], batch.slice(0, tail)])
+        held, rows = [batch.slice(tail)], batch.num_rows - tail
+    if held:
+        yield pa.Table.from_batches(held)

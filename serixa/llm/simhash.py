@@ -18,7 +18,7 @@ repeated rows each get their row; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -102,61 +102,82 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
 
 
 def near_lanes(planes: np.ndarray, values: np.ndarray, rows: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word, mask) where lanes of the word lie within the radius of the row; radius up to 6."""
+    """(row, word, mask) where lanes of the word lie within the radius of the row."""
+    own = values[rows]
+    over = np.zeros(len(rows), dtype=np.uint64)
+    counts = [over.copy() for _ in range(max(radius, 1).bit_length())]
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     with np.errstate(over="ignore"):
-        own = values[rows]
-        one = np.zeros(len(rows), dtype=np.uint64)
-        two, four, over = one.copy(), one.copy(), one.copy()
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
         for b in range(64):
-            differ = planes[b][words] ^ (np.uint64(0) - ((own >> np.uint64(b)) & np.uint64(1)))
-            carry = one & differ
-            one ^= differ
-            more = two & carry
-            two ^= carry
-            over |= four & more
-            four ^= more
+            carry = planes[b][words] ^ (np.uint64(0) - ((own >> np.uint64(b)) & np.uint64(1)))
+            for plane in counts:
+                more = plane & carry
+                plane ^= carry
+                carry = more
             # a counter above the radius stays above: it can only grow, and `over` keeps what wraps
-            if b % 8 == 7 and b < 63:
-                gone = over | above(one, two, four, radius)
+            over |= carry
+            if b % 8 == 7 and radius <= b < 63:
+                gone = over | above(counts, radius)
                 alive = np.flatnonzero(gone != full)
                 if len(alive) < 0.7 * len(rows):
-                    rows, words, own, one, two, four, over = (x[alive] for x in (rows, words, own, one, two, four, over))
+                    rows, words, own, over, *counts = (x[alive] for x in (rows, words, own, over, *counts))
                     if not len(rows):
                         break
-        near = ~(over | above(one, two, four, radius))
+        near = ~(over | above(counts, radius))
     hit = np.flatnonzero(near)
     return rows[hit], words[hit], near[hit]
 
 
-def above(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit counter exceeds the radius."""
-    out = np.zeros_like(one)
-    for count in range(radius + 1, 8):
-        lane = np.full_like(one, 0xFFFFFFFFFFFFFFFF)
-        for bit, plane in enumerate((one, two, four)):
-            lane &= plane if count >> bit & 1 else ~plane
-        out |= lane
-    return out
+def above(counts: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter, a plane per bit from the lowest, exceeds the radius: compared from the highest bit down."""
+    more, same = np.zeros_like(counts[0]), ~np.zeros_like(counts[0])
+    for bit in range(len(counts) - 1, -1, -1):
+        if radius >> bit & 1:
+            same &= counts[bit]
+        else:
+            more |= same & counts[bit]
+            same &= ~counts[bit]
+    return more
 
 
-def link_bucket(values: np.ndarray, group: np.ndarray, forest: Forest, index: np.ndarray, radius: int, side: np.ndarray | None = None) -> None:
-    """Unites, within each run of equal `group`, the values within the radius.
+#: In a group of over so many values the compared rows leave out those that pivots have united.
+PIVOTED, PIVOTS = 256, 6
 
-    index gives each value's place in the forest.  side: in a cell of the grid
-    only pairs of different sides, or all pairs where there is one side only.
+
+def apart(values: np.ndarray, index: np.ndarray, forest: Forest, radius: int, also: Callable | None, first: int) -> np.ndarray:
+    """The places in a large group outside its largest tree, after some values have been compared with all others."""
+    left = np.arange(len(values))
+    for _ in range(PIVOTS):
+        pivot = left[0]
+        near = np.flatnonzero(np.bitwise_count(values ^ values[pivot]) <= radius)
+        if also is not None:
+            near = near[also(np.full(len(near), first + pivot), first + near)]
+        forest.unite(np.full(len(near), index[pivot]), index[near])
+        left = left[forest.label[index[left]] != forest.label[index[pivot]]]
+        if not len(left):
+            break
+    trees, own = np.unique(forest.label[index], return_inverse=True)
+    return np.flatnonzero(own != np.bincount(own).argmax())
+
+
+def link_bucket(values: np.ndarray, group: np.ndarray, forest: Forest, index: np.ndarray, radius: int, also: Callable | None = None) -> None:
+    """Unites, within each run of equal `group`, the values within the radius; also(left, right) says which pairs of places count.
+
+    index gives each value's place in the forest.  Pairs that are united already are not looked at again.
     """
     bounds = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
     ends = np.append(bounds[1:], len(group))
-    small = [(a, b) for a, b in zip(bounds.tolist(), ends.tolist()) if b - a > 1]
-    slot, order, rows, words, lanes_of = 0, [], [], [], []
-    for a, b in small:  # each group begins a word of its own
+    slot, order, rows, words = 0, [], [], []
+    for a, b in zip(bounds.tolist(), ends.tolist()):  # each group begins a word of its own
+        if b - a < 2:
+            continue
         n, first = b - a, slot // 64
+        chosen = np.arange(n) if n <= PIVOTED else apart(values[a:b], index[a:b], forest, radius, also, a)
         order.append((a, b, slot))
         for w in range(-(-n // 64)):
-            upto = min(n, (w + 1) * 64)
-            rows.append(np.arange(slot, slot + upto))
-            words.append(np.full(upto, first + w))
+            # of two rows that are both compared, the later one meets the earlier
+            rows.append(slot + (chosen if n > PIVOTED else chosen[w * 64 :]))
+            words.append(np.full(len(rows[-1]), first + w))
         slot += -(-n // 64) * 64
     if not order:
         return
@@ -173,8 +194,14 @@ def link_bucket(values: np.ndarray, group: np.ndarray, forest: Forest, index: np
             lanes = np.unpackbits(mask[part : part + (1 << 12)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, lane = np.nonzero(lanes)
             left, right = back[r[part + i]], back[w[part + i] * 64 + lane]
-            keep = (right >= 0) & (left != right)
-            forest.unite(index[left[keep]], index[right[keep]])
+            keep = np.flatnonzero((right >= 0) & (left != right))
+            left, right = left[keep], right[keep]
+            new = np.flatnonzero(forest.label[index[left]] != forest.label[index[right]])
+            left, right = left[new], right[new]
+            if also is not None and len(left):
+                good = also(left, right)
+                left, right = left[good], right[good]
+            forest.unite(index[left], index[right])
 
 
 def block_tables(count: int, radius: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -255,10 +282,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = settle(rooted.join(named, "root").select("fp", "component_id"))
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """One document of each component, that with the smallest id; documents without an id stay."""
-    kept = near_duplicates(docs, radius, words).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))

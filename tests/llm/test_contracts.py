@@ -10,6 +10,7 @@ import pytest
 from serixa.llm import iso_media, langid, license_scan, mixing, packing, queries, simhash, suffix_dedup, topk, url_filter
 
 from . import brute
+from .test_near_copies import survivors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -207,9 +208,7 @@ def test_simhash(spark, docs, empty, sf_dir):
     named = docs.where("doc_id is not null")
     got = sorted((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.near_duplicates(named).collect())
     assert got == brute.components(pairs(named))
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
-    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted({c for *_, c in got}) and None in kept
+    assert simhash.near_duplicates(empty).count() == 0
 
 
 @pytest.mark.parametrize("count", [10, 1 << 22, 1 << 30])
@@ -321,8 +320,7 @@ def test_pipeline_end_to_end(spark, sf_dir):
         if name == "language_id":
             assert docs.count() == before.count()
         if name == "simhash":
-            groups = {c for *_, c in brute.components(pairs(before))}
-            assert {r.doc_id for r in docs.collect()} == groups
+            assert sorted(r.doc_id for r in docs.collect()) == survivors(pairs(before))
         if name == "suffix_dedup":
             cut = {i: n for i, _, n, *_ in brute.suffix_digests(pairs(before))}
             for r, b in zip(docs.orderBy("doc_id").collect(), before.orderBy("doc_id").collect()):
