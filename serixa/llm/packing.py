@@ -16,26 +16,30 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import byte_views, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Distinct words and pieces of words whose ids a worker remembers.
-WORDS_KEPT, PIECES_KEPT = 250_000, 300_000
+#: Pieces of words, and bytes of them, above which a worker forgets those that it knows.
+PIECES_KEPT, PIECE_BYTES = 400_000, 16 << 20
 #: ASCII marks that no contraction begins with.
 MARKS = string.punctuation.replace("'", "")
+#: Most words: letters that NFC leaves alone, then marks that make up one piece; < may begin a special token.
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*[" + re.escape(MARKS.replace("<", "")) + "]*$"
 #: What a tokenizer file says if its words can be taken one by one.
 WORDWISE = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "\\s+", "</w>")
 
@@ -47,13 +51,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordIds(dict):
-    """Token ids of texts; each worker remembers those of words and of their pieces.
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of flat from begin on, one after the other."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
+
+
+def tails(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What each word has beyond its stem, its beginning."""
+    (at, data), (stem, _) = byte_views(words), byte_views(stems)
+    size = np.diff(at) - np.diff(stem)
+    body = gathered(data, at[1:] - size, size)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(body)])
+
+
+class WordIds:
+    """Token ids of texts; each worker remembers those of pieces of words.
 
     A wordwise tokenizer never joins text across a blank or a line feed, so a
-    text's ids are those of its parts in turn.  A part of plain Latin letters that
-    NFC leaves alone is lower-cased and split by the tokenizer's own pattern, and
-    each piece goes to its merge table; any other part goes to the tokenizer whole.
+    text's ids are those of its words in turn.  A slice's distinct words are lower-cased
+    and parted into pieces as the tokenizer's own pattern does, those of Latin
+    letters and marks all at once in Arrow.  Pieces that aren't remembered go to the
+    merges together.  What NFC or lower-casing might treat in another way goes to the
+    tokenizer whole.
     """
 
     shared: dict[str, WordIds] = {}
@@ -66,56 +86,114 @@ class WordIds(dict):
         return cls.shared[path]
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         steps = lambda part, name: (told.get(part) or {}).get(name) or []
         rules, splits = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
         kinds = [r["type"] for r in rules], [r["type"] for r in splits]
-        self.wordwise = (*kinds, rules[1]["pattern"].get("Regex") if len(rules) > 1 else None, told["model"].get("end_of_word_suffix")) == WORDWISE
-        self.split = regex.compile(splits[0]["pattern"]["Regex"]) if self.wordwise else None
+        suffix = told["model"].get("end_of_word_suffix")
+        self.wordwise = (*kinds, rules[1]["pattern"].get("Regex") if len(rules) > 1 else None, suffix) == WORDWISE
         self.special = [t["content"] for t in told.get("added_tokens", ())]
-        self.pieces: dict[str, bytes] = {}
         self.letters = byte_letters()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
+        if self.wordwise:
+            self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = told["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece, and no others do
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.wordwise = all(c in vocabulary and c + suffix in vocabulary for c in self.letters.values())
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def parts(self, word: str) -> list[str] | None:
+        """The pieces of a word, or None where only the tokenizer itself can tell."""
         if not (word.isascii() or max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)) or "<" in word and any(s in word for s in self.special):
-            ids = self.whole(word)
-        else:
-            low = word.lower()
-            stem = low.rstrip(MARKS)  # most words are letters, and marks that make up one piece
-            split = (stem, low[len(stem) :]) if len(stem) < len(low) else (low,)
-            ids = b"".join(self.pieces.get(p) or self.piece(p) for p in (split if stem.isalpha() else self.split.findall(low)))
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-    def piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= PIECES_KEPT:
-            self.pieces.clear()
-        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-        if len(piece) < 64:
-            self.pieces[piece] = ids
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+            return None
+        return self.split(word.lower())
+
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(where each piece's ids end, ids): pieces go through the merges together, told apart by the ids that end one."""
+        found = []
+        for first in range(0, len(pieces), 4096):
+            spelled = " ".join([p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters) for p in pieces[first : first + 4096]])
+            found.append(np.array(self.merges.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(pieces):
+            raise ValueError("the tokenizer's pieces don't end as its vocabulary says")
+        return last, ids
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each piece among the known ones; new ones are learned."""
+        if len(self.known) > PIECES_KEPT or self.known.nbytes > PIECE_BYTES:
+            self.forget()
+        coded = pieces.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(pc.is_null(at))
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        last, ids = self.merged(new.to_pylist())
+        self.bounds = np.append(self.bounds, len(self.ids) + last)
+        self.ids = np.append(self.ids, ids)
+        self.known = pa.concat_arrays([self.known, new])
+        return at[coded.indices.to_numpy()]
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(begin of each word's ids and their end, flat ids) of distinct words."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        plain_at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        low = pc.utf8_lower(words.filter(plain))
+        stems = pc.ascii_rtrim(low, characters=MARKS)
+        marks = tails(low, stems)
+        held = [np.flatnonzero(pc.not_equal(x, "").to_numpy(zero_copy_only=False)) for x in (stems, marks)]
+        owners, turns, pieces = [plain_at[h] for h in held], [np.full(len(h), t) for t, h in enumerate(held)], [x.take(pa.array(h)) for x, h in zip((stems, marks), held)]
+        others = np.flatnonzero(pc.invert(plain).to_numpy(zero_copy_only=False))
+        split, whole = [], {}
+        for at, word in zip(others.tolist(), words.take(pa.array(others)).to_pylist()):
+            own = self.parts(word)
+            if own is None:
+                whole[at] = self.whole(word)
+            split.append(own or [])
+        counts = np.array([len(own) for own in split], np.int64)
+        owners.append(np.repeat(others, counts))
+        turns.append(np.arange(int(counts.sum())))
+        pieces.append(pa.array([p for own in split for p in own], pa.string()))
+        owner, turn, number = np.concatenate(owners), np.concatenate(turns), self.numbers(pa.concat_arrays(pieces))
+        begin, size, ids = self.bounds[number], self.bounds[number + 1] - self.bounds[number], self.ids
+        if whole:
+            more = list(whole.values())
+            sizes = np.array([len(x) for x in more])
+            owner, turn = np.append(owner, list(whole)), np.append(turn, np.zeros(len(more), np.int64))
+            begin, size, ids = np.append(begin, len(ids) + np.cumsum(sizes) - sizes), np.append(size, sizes), np.concatenate([ids, *more])
+        order = np.lexsort((turn, owner))
+        per_word = np.bincount(owner, size, len(words)).astype(np.int64)
+        return np.append(0, np.cumsum(per_word)), gathered(ids, begin[order], size[order])
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Each text's ids and then `end`."""
-        tail, look = np.array([end], "<u4").tobytes(), self.__getitem__
-        out = []
-        for text in texts:
-            text = text or ""
-            body = b"".join(map(look, text.replace("\n", " ").split(" "))) if self.wordwise else self.whole(text)
-            out.append(np.frombuffer(body + tail, "<u4"))
-        return out
+        texts = texts.fill_null("")
+        if not self.wordwise:
+            return [np.append(self.whole(text), np.uint32(end)).astype("<u4") for text in texts.to_pylist()]
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        word_bounds, ids = self.word_ids(coded.dictionary)
+        # the separator stands as one more word after each text
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(coded.dictionary))
+        begin, size = np.append(word_bounds[:-1], len(ids)), np.append(np.diff(word_bounds), 1)
+        flat = gathered(np.append(ids, np.uint32(end)), begin[codes], size[codes]).astype("<u4")
+        ends = np.append(0, np.cumsum(size[codes]))[bounds - bounds[0] + np.arange(len(bounds))]
+        return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 class Harmonic:
@@ -137,9 +215,6 @@ class Harmonic:
     def place(self, piece: tuple) -> Iterator[tuple]:
         size = len(piece[2])
         kind = self.capacity // size
-        if kind == 1:  # over half a bin: alone in its bin, or cut to complete others
-            heappush(self.waiting, (-size, next(self.tie), piece))
-            return
         mates = self.open.setdefault(kind, [])
         mates.append(piece)
         if len(mates) == kind:
@@ -199,11 +274,6 @@ class Harmonic:
                     yield from self.close(pieces)
                     pieces = []
 
-    def shed(self) -> Iterator[tuple]:
-        """Keeps what waits within bounds: full bins of the longest tails once many wait."""
-        while len(self.waiting) > 4096:
-            yield from self.fill([heappop(self.waiting)[2]])
-
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", encoder: Callable = WordIds.of) -> DataFrame:
     """One row per piece of a document; pieces of a sequence lie gapless from offset 0."""
@@ -227,11 +297,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, id
 
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = encode(part.column("text").to_pylist(), end)
+                ids = encode(part.column("text"), end)
                 found = []
                 for doc, own in zip(part.column("doc_id").to_pylist(), ids):
                     found += bins.add((doc, len(own)), own)
-                    found += bins.shed()
                 yield rows(found)
         yield rows(bins.finish())
 
