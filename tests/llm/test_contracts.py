@@ -103,7 +103,29 @@ def test_topk_odd_rows(spark):
     found = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.search(df).collect())
     single = [(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v, _ in rows]
     assert found == sorted(brute.topk(single) + [(200, 1, 201, 256 * 512 * 3)])
-    assert topk.search(df.where("vec_id < 0")).count() == 0
+    none = topk.search(df.where("vec_id < 0"))
+    assert none.columns == ["query_id", "rank", "vec_id", "score"] and none.count() == 0
+
+
+def test_topk_large_components_and_repeats(spark, monkeypatch):
+    """Scores of any size rank exactly; rows of one id are candidates each; columns with other operators' names change nothing."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    r = random.Random(8)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(130)]
+    rows += [(3, [1e300] * 6), (4, [-1e300] + [0.0] * 5), (5, [1e308] * 6), (6, [3e7 + 0.3, -2.0, 0.5, 1e17, 0.0, 1.0]), (50, [0.9] * 6), (7, [-1e300] * 6), (8, [0.2] * 6), (8, [0.2] * 6)]
+    df = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "vec_id long, embedding array<double>, id int, q int, score int")
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.search(df).collect())
+    from fractions import Fraction
+    from math import floor
+
+    whole = [(i, [floor(Fraction(x) * 256) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50, 100):
+        own = min(v for (i, _), (_, v) in zip(rows, rows) if i == q)
+        own = [floor(Fraction(x) * 256) for x in own]
+        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)[:5]
+        want += [(q, n + 1, i, max(min(-s, (1 << 63) - 1), -(1 << 63))) for n, (s, i) in enumerate(best)]
+    assert got == want
 
 
 def test_packing(spark, docs, empty, sf_dir):
