@@ -8,7 +8,8 @@ columns when the table closes.  Invisible elements give nothing.
 
 Defined results: a null or empty page gives an empty text; unclosed elements end
 with the page; a tag that never ends takes the rest of the page, as in browsers;
-stray end tags are ignored; nesting of any depth is handled without recursion.
+stray end tags are ignored; nesting of any depth is handled without recursion, and pages
+of any length in one pass.  Ties can't occur; columns other than the two named are not read.
 Repeated rows get a row each; an empty table gives no rows; a null id stays null.
 """
 
@@ -30,7 +31,8 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(rf"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_B}={_B}(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|$))?""")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 #: Element classes of HTML.
 VOID = frozenset("area base basefont br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -66,6 +68,12 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def spans(value: str | None, least: int, most: int) -> int:
+    """How many columns or rows a cell says it takes up."""
+    found = re.match(r"[ \t\n\r\f]*\+?(\d{1,9})", value or "", re.A)
+    return min(int(found[1]), most) if found and int(found[1]) >= least else 1
+
+
 class Flow:
     """Lines of one container, with the one under way."""
 
@@ -75,6 +83,7 @@ class Flow:
         self.line: list[str] = []
         self.space, self.gap = False, 0
         self.count = 0  # items of a list so far
+        self.spans = (1, 1)  # columns and rows of a cell; 0 rows are all that follow
 
     def words(self, text: str) -> None:
         parts = [p for p in (text.split() if text.isascii() and "\x0b" not in text else BLANKS.split(text)) if p]
@@ -118,36 +127,51 @@ class Flow:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # lines, columns and rows of each cell
         self.captions: list[str] = []
 
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """(first column, columns, lines) of the cells of each row; what a cell above spans is left free."""
+        taken: dict[int, int] = {}  # column: the row after the last that a cell from above takes up
+        out = []
+        for r, row in enumerate(self.rows):
+            cells, at = [], 0
+            for lines, span, down in row:
+                while taken.get(at, 0) > r:
+                    at += 1
+                cells.append((at, span, lines))
+                if down != 1:
+                    upto = r + down if down else len(self.rows)
+                    taken.update((c, max(upto, taken.get(c, 0))) for c in range(at, at + span))
+                at += span
+            out.append(cells)
+        return out
+
     def laid_out(self) -> list[str]:
         """Cells padded to their column's width; a cell of several lines makes its row as high."""
-        widths: list[int] = []
-        for row in self.rows:
-            at = 0
-            for lines, span in row:
-                widths += [0] * (at + span - len(widths))
+        rows = self.placed()
+        widths = [0] * max((at + span for row in rows for at, span, _ in row), default=0)
+        for row in rows:
+            for at, span, lines in row:
                 if span == 1:
                     widths[at] = max([widths[at], *map(width, lines)])
-                at += span
-        for row in self.rows:  # what spans columns widens the last of them
-            at = 0
-            for lines, span in row:
+        for row in rows:  # what spans columns widens the last of them
+            for at, span, lines in row:
                 if span > 1:
                     has = sum(widths[at : at + span]) + 2 * (span - 1)
                     widths[at + span - 1] += max(0, max(map(width, lines), default=0) - has)
-                at += span
+        begins = [0]
+        for w in widths:
+            begins.append(begins[-1] + w + 2)
         out = list(self.captions)
-        for row in self.rows:
-            for i in range(max((len(lines) for lines, _ in row), default=0)):
-                line, at = [], 0
-                for lines, span in row:
-                    room = sum(widths[at : at + span]) + 2 * (span - 1)
-                    text = lines[i] if i < len(lines) else ""
-                    line.append(text + " " * (room - width(text)))
-                    at += span
-                out.append("  ".join(line).rstrip(" "))
+        for row in rows:
+            for i in range(max((len(lines) for *_, lines in row), default=0)):
+                line, has = [], 0
+                for at, _, lines in row:
+                    if i < len(lines) and lines[i]:
+                        line.append(" " * (begins[at] - has) + lines[i])
+                        has = begins[at] + width(lines[i])
+                out.append("".join(line).rstrip(" "))
         return out
 
 
@@ -158,11 +182,13 @@ class Page:
         self.open: list[str] = []
         self.flows = [Flow()]
         self.tables: list[Table] = []
-        self.hidden: list[int] = []  # depths of the invisible elements that are open
+        self.hidden: list[int] = []  # depths of the elements without boxes that are open
+        self.unseen: list[tuple[int, bool]] = []  # depths where visibility changes, and whether to unseen
+        self.closed: list[list] = []  # depth of closed details, and whether their summary, which alone shows, has come
         self.preformatted = 0
 
     def text(self, data: str) -> None:
-        if self.hidden or not data:
+        if self.hidden or not data or self.unseen and self.unseen[-1][1] or self.closed and self.closed[-1][0] == len(self.open):
             return
         if "&" in data:
             data = html.unescape(data)
@@ -185,12 +211,20 @@ class Page:
         if tag in ("td", "th") and "tr" not in self.open[self.last("table") + 1 :] and "table" in self.open:
             self.start("tr", "")
         known = dict((k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)) if attributes and not attributes.isspace() else {}
-        unseen = tag in INVISIBLE or "hidden" in known or bool(UNSEEN.search(known.get("style", "")))
+        style = known.get("style", "")
+        unseen = tag in INVISIBLE or "hidden" in known or tag == "dialog" and "open" not in known or bool(UNSEEN.search(style))
+        if self.closed and self.closed[-1][0] == len(self.open):
+            unseen = unseen or tag != "summary" or self.closed[-1][1]
+            self.closed[-1][1] |= tag == "summary"
         if tag in VOID:
             if not self.hidden and not unseen:
                 self.void(tag, known)
             return
         self.open.append(tag)
+        if found := VISIBILITY.findall(style):
+            self.unseen.append((len(self.open), found[-1].lower() != "visible"))
+        if tag == "details" and "open" not in known:
+            self.closed.append([len(self.open), False])
         if unseen or self.hidden:
             if unseen:
                 self.hidden.append(len(self.open))
@@ -205,8 +239,8 @@ class Page:
         elif tag == "tr" and self.tables:
             self.tables[-1].rows.append([])
         elif tag in ("td", "th", "caption") and self.tables:
-            span = known.get("colspan", "1")
-            self.flows.append(Flow(tag, span if span.isdigit() and 0 < int(span[:4]) <= 1000 else "1"))
+            self.flows.append(Flow(tag))
+            self.flows[-1].spans = spans(known.get("colspan"), 1, 1000), spans(known.get("rowspan"), 0, 65534)
         elif tag in ("ul", "ol", "menu"):
             flow.block(not any(f.kind == "li" for f in self.flows))
             self.flows.append(Flow(tag))
@@ -274,9 +308,15 @@ class Page:
         """Ends an inline element around open blocks, which stay open."""
         del self.open[at]
         self.hidden = [d - (d > at + 1) for d in self.hidden if d != at + 1]
+        self.closed = [[d - (d > at + 1), s] for d, s in self.closed if d != at + 1]
+        self.unseen = [(d - (d > at + 1), u) for d, u in self.unseen if d != at + 1]
 
     def pop(self) -> None:
         depth, tag = len(self.open), self.open.pop()
+        if self.unseen and self.unseen[-1][0] == depth:
+            self.unseen.pop()
+        if self.closed and self.closed[-1][0] == depth:
+            self.closed.pop()
         if self.hidden:
             if self.hidden[-1] == depth:
                 self.hidden.pop()
@@ -299,7 +339,7 @@ class Page:
             else:
                 if not table.rows:
                     table.rows.append([])
-                table.rows[-1].append((flow.lines, int(flow.mark)))
+                table.rows[-1].append((flow.lines, *flow.spans))
         elif tag in ("ul", "ol", "menu") and flow.kind == tag:
             self.flows.pop()
             flow.end()
