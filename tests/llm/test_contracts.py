@@ -215,10 +215,10 @@ def test_iso_media_boxes(spark):
     assert (track["codec"], track["samples"], track["duration"]) == ("raw ", 80, 5120)
     assert iso_media.read_payload(data, track) == bytes(range(256)) * 20
     assert [data[a : a + n] for a, n in track["keyframes"].tolist()] == [(bytes(range(256)) * 20)[i * 64 : i * 64 + 64] for i in range(0, 80, 3)]
-    for cut in range(8, len(data) - 1, 41):
+    boxes = {b for path, _, b in iso_media.walk(memoryview(data)) if len(path) == 1}
+    for cut in (c for c in range(8, len(data), 41) if c not in boxes):
         with pytest.raises(ValueError):
-            iso_media.describe(data[:cut])[0]["chunks"][0]
-            raise ValueError
+            iso_media.describe(data[:cut])
     media = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"\0\0\0\x63moov")), (3, None)], "id long, media binary")
     got = {r.id: r for r in iso_media.describe_column(media, "id", "media").collect()}
     assert got[1].samples == 80 and got[1].error is None and got[2].error and 3 not in got
