@@ -14,7 +14,9 @@ language, less likely than if all were alike (gibberish and languages outside th
 set), or are under a tenth of all.  A text under three bytes has no trigram to go by, and
 a sample of fewer trigrams than buckets rejects no text so.  A null or unknown declaration, suffix or host is no evidence.
 Repeated rows get a row each; an empty table gives no rows; without any labelled
-row there is no language to tell, and all languages are null and not accepted.
+row there is no language to tell, and all languages are null and not accepted.  Of languages
+that tie the first by name is told; columns other than those named are not read, or handed on
+by the pipeline's stage; texts of any length are read whole, in pieces.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_views, settle
+from .html_text import render
 
 BUCKETS = 1 << 16
 #: A text's evidence counts as that of this many trigrams at most, since neighbours depend on each other.
@@ -117,7 +120,7 @@ def markup_language(html: Column) -> Column:
 def identify(rows: DataFrame, model: Model, trust: float = 0.9, weight: float = 20.0, least: float = 0.5) -> DataFrame:
     """rows (id, text, declared, suffix, host) with lang, confidence, text_lang and accepted; the text is not kept.
 
-    weight: how many rows of the level above a host or suffix is smoothed by.
+    id may be of any type.  weight: how many rows of the level above a host or suffix is smoothed by.
     """
     names = model.languages
 
@@ -131,8 +134,8 @@ def identify(rows: DataFrame, model: Model, trust: float = 0.9, weight: float =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "declared", "suffix", "host")), as_list(logs), as_list(shares), pa.array(letters), pa.array(known)], names=["id", "declared", "suffix", "host", "logs", "shares", "letters", "known"])
 
     blank = lambda c: F.when(F.trim(F.col(c)) != "", F.lower(F.trim(F.col(c))))
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), blank("declared").alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"))
-    told = settle(rows.mapInArrow(run, "id long, declared string, suffix string, host string, logs array<double>, shares array<double>, letters boolean, known boolean"))
+    rows = rows.select("id", F.col("text").cast("string").alias("text"), blank("declared").alias("declared"), blank("suffix").alias("suffix"), blank("host").alias("host"))
+    told = settle(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, declared string, suffix string, host string, logs array<double>, shares array<double>, letters boolean, known boolean"))
     if not names:
         return told.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"), "declared")
     size = range(len(names))
@@ -173,25 +176,61 @@ def identify(rows: DataFrame, model: Model, trust: float = 0.9, weight: float =
 
 
 def of_documents(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """(doc_id, declared, text_lang, lang, confidence, accepted); lang declares, and the source stands for the host."""
-    model = fit_sample(docs.select(F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("label")), sample_rows)
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), suffix_of(F.col("source")).alias("suffix"), F.col("source").alias("host"))
-    return identify(rows, model).select(F.col("id").alias("doc_id"), "declared", "text_lang", "lang", "confidence", "accepted")
+    """(doc_id, declared, text_lang, lang, confidence, accepted); the source stands for the host.
+
+    The lang column labels the sample; so it is shown as declared, but it is no evidence.
+    """
+    model = fit_documents(docs, sample_rows)
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("lang")).alias("id")
+    found = identify(document_rows(docs, key), model)
+    return found.select(F.col("id.id").alias("doc_id"), F.col("id.lang").alias("declared"), "text_lang", "lang", "confidence", "accepted")
+
+
+def fit_documents(docs: DataFrame, sample_rows: int) -> Model:
+    return fit_sample(docs.select(F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("label")), sample_rows)
 
 
-def of_pages(pages: DataFrame, model: Model, text: Column) -> DataFrame:
-    """The same of web pages, with what their markup declares and their addresses."""
+def document_rows(docs: DataFrame, key: Column) -> DataFrame:
+    return docs.select(key, F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("declared"), suffix_of(F.col("source")).alias("suffix"), F.col("source").cast("string").alias("host"))
+
+
+def page_rows(pages: DataFrame, key: Column) -> DataFrame:
+    """Pages by the text that they show, with what their markup declares and their addresses."""
     host = host_of(F.col("url"))
-    rows = pages.select(F.col("page_id").alias("id"), text.alias("text"), markup_language(F.col("html")).alias("declared"), suffix_of(host).alias("suffix"), host.alias("host"))
-    return identify(rows, model).withColumnRenamed("id", "page_id")
+    told = pages.select(key, markup_language(F.col("html")).alias("declared"), suffix_of(host).alias("suffix"), host.alias("host"), F.col("html").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array([render(x) for x in batch.column(at).to_pylist()], pa.string()))
+
+    return told.mapInArrow(run, told.schema).select("id", "text", "declared", "suffix", "host")
+
+
+def of_pages(pages: DataFrame, model: Model) -> DataFrame:
+    """(page_id, lang, confidence, text_lang, accepted, declared) of web pages."""
+    found = identify(page_rows(pages, F.col("page_id").cast("long").alias("id")), model)
+    return found.withColumnRenamed("id", "page_id")
+
+
+def of_both(docs: DataFrame, pages: DataFrame, sample_rows: int = 2000) -> DataFrame:
+    """(doc_id, page_id, declared, text_lang, lang, confidence, accepted): every document and every page, one id of the two each."""
+    model = fit_documents(docs, sample_rows)
+    none = F.lit(None).cast("long")
+    lang = lambda c: c.cast("string").alias("lang")
+    key = lambda doc, page, said: F.struct(doc.alias("doc"), page.alias("page"), lang(said)).alias("id")
+    of_docs = document_rows(docs, key(F.col("doc_id").cast("long"), none, F.col("lang")))
+    of_web = page_rows(pages, key(none, F.col("page_id").cast("long"), markup_language(F.col("html"))))
+    found = identify(of_docs.union(of_web), model)
+    return found.select(F.col("id.doc").alias("doc_id"), F.col("id.page").alias("page_id"), F.nullif(F.lower(F.trim("id.lang")), F.lit("")).alias("declared"), "text_lang", "lang", "confidence", "accepted")
 
 
 def keep_identified(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """The documents whose language is told; lang becomes what was found.  Ids may be null or repeated."""
     # all that a row is judged by; rows of one key are judged alike
-    key = F.xxhash64(F.struct("doc_id", "text", "lang", "source"))
-    found = of_documents(docs.select(key.alias("doc_id"), "text", "lang", "source"), sample_rows).where("accepted")
-    found = found.groupBy(F.col("doc_id").alias("f_key")).agg(F.max_by("lang", "confidence").alias("f_lang"))
+    key = F.xxhash64(F.struct("doc_id", "text", "source"))
+    found = identify(document_rows(docs, key.alias("id")), fit_documents(docs, sample_rows)).where("accepted")
+    found = found.groupBy(F.col("id").alias("f_key")).agg(F.max_by("lang", "confidence").alias("f_lang"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
     joined = rows.join(found, F.col("key") == F.col("f_key"))
     return joined.select(F.col("row").withField("lang", F.col("f_lang")).alias("row")).select("row.*")

@@ -38,7 +38,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.of_documents(table(spark, sf_dir, "documents"))
+    return langid.of_both(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

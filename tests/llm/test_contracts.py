@@ -169,13 +169,11 @@ def test_language_rejects_only_what_has_no_letters(docs, empty):
 
 
 def test_language_evidence_of_pages(spark):
-    from pyspark.sql import functions as F
-
     model = langid.Model.fit(["the thing and that", "der die das und ich"], ["en", "de"])
     pages = spark.createDataFrame(
-        [(i, f"http://h{i % 2}.de/x", "<html lang='de-AT'>") for i in range(4)] + [(9, None, None), (10, "http://h0.de/", "<html>")], "page_id long, url string, html string"
+        [(i, f"http://h{i % 2}.de/x", "<html lang='de-AT'>12 34") for i in range(4)] + [(9, None, None), (10, "http://h0.de/", "<html>")], "page_id long, url string, html string"
     )
-    got = {r.page_id: r for r in langid.of_pages(pages, model, F.lit("12 34")).collect()}
+    got = {r.page_id: r for r in langid.of_pages(pages, model).collect()}
     assert got[0].lang == "de" and got[0].declared == "de" and got[0].text_lang is None and not got[0].accepted and got[9].declared is None
 
 
