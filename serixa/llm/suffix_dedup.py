@@ -8,17 +8,17 @@ prefixes agree up to their start.
 
 1. Texts are dealt by document once; each anchor is passed on with the hash of its
    gram and of its context (all bytes of its windows).
-2. One anchor for each context of a batch is dealt by gram, sorted and compared with
-   its neighbours: grams that occur once go, equal contexts are counted, and one of
-   each stands for all.  So copies are no one task's, however many there are.
+2. Two anchors at most for each context of a batch are dealt by gram and sorted.  Grams
+   that occur once go; of each context the first two stand for all, so that copies are no
+   one task's, however many there are.  Nothing is judged by these hashes.
 3. The contexts' suffixes are range-partitioned by their leading bytes at sampled
    splitters.  A splitter never parts suffixes that agree in the gram, so what lies
    on either side of a boundary differs within it: comparing across boundaries
    needs the gram alone.  Each bucket sorts its suffixes, and its reversed prefixes,
    by multikey quicksort over 8-byte words, and reads the common lengths of
    neighbours; for each offset, the anchors that agree on both sides repeat.  A gram
-   with more than CROWD different contexts is no bucket's: its windows are dealt
-   one by one, by a 128-bit hash, and counted.
+   with more than CROWD contexts that stand for others is no bucket's: its windows are
+   dealt one by one, by a 128-bit hash, and counted; both ways are exact.
 4. The repeated windows go back to every anchor with that context, and their runs
    to the documents.
 
@@ -42,7 +42,7 @@ from .anchors import _MIX, _powers, anchors
 from .common import byte_views, shuffle_partitions
 
 SPAN, GRAM = 200, 48
-#: Contexts of one gram that a bucket sorts; a gram with more is dealt by window instead.
+#: Stand-ins of one gram that a bucket sorts, a bound on its memory; a gram with more is dealt by window instead.
 CROWD = 100_000
 NO_ID = -(1 << 63)
 
@@ -78,44 +78,39 @@ def word_columns(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, back
 def multikey_sort(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): rows by their words, shorter first, and the bytes each shares with its predecessor.
 
-    Word by word, only rows that still tie are partitioned further, all ties of a
-    depth at once.
+    Multikey quicksort, all segments at once: each is parted in three by one word of its
+    middle row; the parts below and above stay at their word, the equal part moves to the next.
     """
     n, depth = words.shape
     order = np.arange(n)
-    segment = np.zeros(n, np.int64)  # of each place in the order
+    keyed_words = np.concatenate([words, sizes[:, None].astype(np.uint64)], axis=1)
+    begin = np.zeros(min(n, 1), np.int64)  # of the open segments, with their ends and words
+    end, at = begin + n, np.zeros(len(begin), np.int64)
+    while len(begin):
+        size = end - begin
+        before = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(size)), size)
+        places = np.arange(int(size.sum())) + (begin - before)[owner]
+        rows = order[places]
+        keys = keyed_words[rows, at[owner]]
+        pivot = keys[before + size // 2][owner]
+        part = 3 * owner + 1 + (keys > pivot) - (keys < pivot)
+        order[places] = rows[np.argsort(part, kind="stable")]
+        counts = np.bincount(part, minlength=3 * len(size))
+        ends = np.cumsum(counts) + np.repeat(begin - before, 3)
+        words_at = np.repeat(at, 3) + (np.arange(len(counts)) % 3 == 1)
+        open_ = np.flatnonzero((counts > 1) & (words_at <= depth))
+        begin, end, at = (ends - counts)[open_], ends[open_], words_at[open_]
     lcp = np.zeros(n, np.int64)
-    open_ = np.arange(n) if n > 1 else np.zeros(0, np.int64)
-    for d in range(depth + 1):
-        if not len(open_):
-            break
-        keys = words[order[open_], d] if d < depth else sizes[order[open_]].astype(np.uint64)
-        by = np.lexsort((keys, segment[open_]))
-        order[open_] = order[open_][by]
-        keys, own = keys[by], segment[open_]
-        same = own[1:] == own[:-1]
-        parted = np.flatnonzero(same & (keys[1:] != keys[:-1])) + 1
-        if d < depth:
-            differ = keys[parted] ^ keys[parted - 1]
-            lcp[open_[parted]] = 8 * d + sum((differ < np.uint64(1 << 64 - 8 * b)).astype(np.int64) for b in range(1, 8))
-        else:
-            lcp[open_[parted]] = 8 * depth
-        fresh = np.zeros(len(open_), bool)
-        fresh[0] = True
-        fresh[1:] |= ~same
-        fresh[parted] = True
-        segment[open_] = open_[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        if d == depth:
-            tie = ~fresh
-            lcp[open_[tie]] = 8 * depth
-            break
-        ends = np.append(np.flatnonzero(fresh), len(open_))
-        several = np.repeat(np.diff(ends) > 1, np.diff(ends))
-        open_ = open_[several]
+    for first in range(1, n, 1 << 13):  # neighbours share whole words, then bytes of the first that differs
+        last = min(n, first + (1 << 13))
+        differ = words[order[first:last]] ^ words[order[first - 1 : last - 1]]
+        word = (differ != 0).argmax(axis=1) if depth else np.zeros(last - first, np.int64)
+        own = differ[np.arange(last - first), word] if depth else np.zeros(last - first, np.uint64)
+        share = 8 * word + sum((own < np.uint64(1 << 64 - 8 * b)).astype(np.int64) for b in range(1, 8))
+        lcp[first:last] = np.where(own == 0, 8 * depth, share)
     if n:
-        shorter = np.minimum(sizes[order[1:]], sizes[order[:-1]])
-        lcp[1:] = np.minimum(lcp[1:], shorter)
-        lcp[0] = 0
+        lcp[1:] = np.minimum(lcp[1:], np.minimum(sizes[order[1:]], sizes[order[:-1]]))
     return order, lcp
 
 
@@ -177,40 +172,33 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
             g, c, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, np.repeat(k1, counts), np.repeat(k2, counts), p)], names=names)
 
-    def find_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One anchor for each context of a batch, and whether it has more: copies are gone before they are dealt."""
+    def find_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two anchors at most for each context of a batch: copies are gone before they are dealt."""
         for batch in find(batches):
             g, c = batch.column("gram").to_numpy(), batch.column("context").to_numpy()
             by = np.lexsort((c, g))
-            first = np.append(True, (g[by][1:] != g[by][:-1]) | (c[by][1:] != c[by][:-1]))[: len(g)]
-            again = np.diff(np.append(np.flatnonzero(first), len(g))) > 1
-            yield batch.take(pa.array(by[first])).append_column("again", pa.array(again))
+            same = (g[by][1:] == g[by][:-1]) & (c[by][1:] == c[by][:-1])
+            third = np.zeros(len(g), bool)
+            third[2:] = same[1:] & same[:-1]
+            yield batch.take(pa.array(by[~third]))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first of each context, with `whole` (the context repeats) and `stands` (its gram has others); lone ones go."""
-        batches = iter(batches)
+        """The first two of each context, with `turn`, in grams that occur twice; lone grams go."""
+        batches = (b for b in batches if b.num_rows)
         batch = next(batches, None)
-        last_seen = (None, None)  # gram and context before the rows in hand
+        last = (None, None, 0)  # gram, context and how many of that have passed, before the rows in hand
         while batch is not None:
             after = next(batches, None)
-            while after is not None and not after.num_rows:
-                after = next(batches, None)
             g, c = batch.column("gram").to_numpy(), batch.column("context").to_numpy()
-            if len(g):
-                ahead = (after.column("gram")[0].as_py(), after.column("context")[0].as_py()) if after is not None else (None, None)
-                gram_before = np.append(g[0] == last_seen[0], g[1:] == g[:-1])
-                both_before = gram_before & np.append(c[0] == last_seen[1], c[1:] == c[:-1])
-                gram_after = np.append(g[1:] == g[:-1], g[-1] == ahead[0])
-                both_after = gram_after & np.append(c[1:] == c[:-1], c[-1] == ahead[1])
-                # a gram with one context needs nobody to stand for it; of one that leaves the batch that isn't known
-                group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
-                several = np.bincount(group, ~both_before) > 1
-                several[0] |= bool(gram_before[0])
-                several[-1] |= bool(gram_after[-1])
-                whole = both_after | batch.column("again").to_numpy(zero_copy_only=False)
-                out = batch.drop_columns(["again"]).append_column("whole", pa.array(whole)).append_column("stands", pa.array(several[group]))
-                yield out.filter(pa.array(~both_before & (whole | several[group])))
-                last_seen = (g[-1], c[-1])
+            gram_before = np.append(g[0] == last[0], g[1:] == g[:-1])
+            gram_after = np.append(g[1:] == g[:-1], after is not None and g[-1] == after.column("gram")[0].as_py())
+            fresh = ~(gram_before & np.append(c[0] == last[1], c[1:] == c[:-1]))
+            starts = np.flatnonzero(np.append(True, fresh[1:]))
+            turn = np.arange(len(g)) - np.repeat(starts, np.diff(np.append(starts, len(g))))
+            if not fresh[0]:
+                turn[: starts[1] if len(starts) > 1 else len(g)] += last[2]
+            last = (g[-1], c[-1], int(turn[-1]) + 1)
+            yield batch.append_column("turn", pa.array(turn)).filter(pa.array((turn < 2) & (gram_before | gram_after)))
             batch = after
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +209,14 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
             flat = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             # rows that are repeated hold each stand-in many times over; one is enough
-            keys = np.stack([flat.field(c).to_numpy() for c in ("gram", "context")])
+            keys = np.stack([flat.field(c).to_numpy() for c in ("gram", "context", "turn")])
             _, one = np.unique(keys, axis=1, return_index=True)
             flat, owner = flat.take(pa.array(one)), owner[one]
             place = flat.field("place").to_numpy()
             first, lead, more = place >> 16, place >> 8 & 255, place & 255
             begin = offsets[:-1][owner] + first
             bytes_ = [data[o : o + m + span].tobytes() for o, m in zip(begin.tolist(), more.tolist())]
-            at = [b[x : x + gram] for b, x in zip(bytes_, lead.tolist())]
-            yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("context"), pa.array(lead), pa.array(more), flat.field("whole"), pa.array(at, pa.binary()), pa.array(bytes_, pa.binary())], names=["gram", "context", "lead", "more", "whole", "suffix", "bytes"])
+            yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("context"), pa.array(lead), pa.array(more), pa.array(bytes_, pa.binary())], names=["gram", "context", "lead", "more", "bytes"])
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -239,6 +226,11 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
         offsets, data = byte_views(got["bytes"])
         lead, more = got["lead"].to_numpy(), got["more"].to_numpy()
         row, window = repeated_windows(data, offsets[:-1], lead, more, span)
+        grams, wholes = got["gram"].to_numpy(), got["context"].to_numpy()
+        first = np.unique(np.stack([grams, wholes]), axis=1, return_index=True)[1]
+        one = np.zeros(len(grams), bool)  # a context's other stand-ins have the same windows
+        one[first] = True
+        row, window = row[one[row]], window[one[row]]
         by = np.lexsort((window, row))
         row, window = row[by], window[by]
         fresh = np.ones(len(row), bool)
@@ -247,12 +239,9 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
         end = np.append(begin[1:], len(row)) - 1
         runs = np.stack([window[begin], window[end]], axis=1).ravel() if len(row) else np.zeros(0, np.int64)
         owner = row[begin] if len(row) else np.zeros(0, np.int64)
-        alone = ~got["whole"].to_numpy()[owner] if len(owner) else np.zeros(0, bool)  # of contexts that repeat it is known
-        owner, runs = owner[alone], runs.reshape(-1, 2)[alone].ravel()
         who, n = np.unique(owner, return_counts=True)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(2 * n)).astype(np.int32)), pa.array(runs.astype(np.int32)))
-        take = pa.array(who)
-        yield pa.RecordBatch.from_arrays([got["gram"].combine_chunks().take(take), got["context"].combine_chunks().take(take), lists], names=["s_gram", "s_context", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(grams[who]), pa.array(wholes[who]), lists], names=["s_gram", "s_context", "windows"])
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every window of a context by a 128-bit hash, for grams with too many contexts for a bucket."""
@@ -266,36 +255,35 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
             yield pa.RecordBatch.from_arrays([batch.column("gram").take(take), batch.column("context").take(take), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], names=["gram", "context", "window", "key"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Byte runs of each anchor's repeated windows; null stands for all of them."""
+        """Byte runs of each anchor's repeated windows."""
         for batch in batches:
             first = batch.column("place").to_numpy() >> 16
             more = batch.column("place").to_numpy() & 255
             runs = [
-                [a, a + m + span] if own is None else [x for b, e in zip(own[::2], own[1::2]) for x in (a + b, a + e + span)]
+                [a, a + m + span] if own == [0, m] else [x for b, e in zip(own[::2], own[1::2]) for x in (a + b, a + e + span)]
                 for a, m, own in zip(first.tolist(), more.tolist(), batch.column("windows").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(runs, pa.list_(pa.int32()))], names=["k1", "k2", "runs"])
 
     texts = dealt.select("k1", "k2", "text", "rest")  # the same columns wherever it is used, so it is dealt once
-    dealt_grams = texts.mapInArrow(find_distinct, places + ", again boolean").repartition(parts, "gram").sortWithinPartitions("gram", "context", "k1", "k2", "place")
-    shared = dealt_grams.mapInArrow(neighbours, places + ", whole boolean, stands boolean")
-    stand = shared.where("stands").select("gram", "context", F.col("k1").alias("s1"), F.col("k2").alias("s2"), "place", "whole")
+    dealt_grams = texts.mapInArrow(find_few, places).repartition(parts, "gram").sortWithinPartitions("gram", "context", "k1", "k2", "place")
+    stand = dealt_grams.mapInArrow(neighbours, places + ", turn long").withColumnsRenamed({"k1": "s1", "k2": "s2"})
     crowds = stand.groupBy("gram").count().where(F.col("count") > crowd).select("gram")
 
     def suffixes(chosen: DataFrame) -> DataFrame:
         # one row per text, so that a long text with many anchors is handed over once
-        chosen = chosen.groupBy("s1", "s2").agg(F.collect_list(F.struct("gram", "context", "place", "whole")).alias("held"))
+        chosen = chosen.groupBy("s1", "s2").agg(F.collect_list(F.struct("gram", "context", "place", "turn")).alias("held"))
         held = texts.join(chosen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("held", "text", "rest")
-        return held.mapInArrow(contexts, "gram long, context long, lead long, more long, whole boolean, suffix binary, bytes binary")
+        return held.mapInArrow(contexts, "gram long, context long, lead long, more long, bytes binary")
 
     few, many = suffixes(stand.join(crowds, "gram", "left_anti")), suffixes(stand.join(crowds, "gram", "left_semi"))
-    judged = few.repartitionByRange(parts, "suffix").mapInArrow(bucket, "s_gram long, s_context long, windows array<int>")
+    leading = F.substring(F.col("bytes"), F.col("lead").cast("int") + 1, F.lit(gram))
+    judged = few.repartitionByRange(parts, leading).mapInArrow(bucket, "s_gram long, s_context long, windows array<int>")
     loose = many.mapInArrow(windows_of, "gram long, context long, window int, key binary")
     twice = loose.groupBy("key").count().where("count > 1").select("key")
-    run = F.flatten(F.transform(F.array_sort(F.collect_list("window")), lambda w: F.array(w, w)))
+    run = F.flatten(F.transform(F.array_sort(F.collect_set("window")), lambda w: F.array(w, w)))
     dealt_windows = loose.join(twice, "key", "left_semi").groupBy("gram", "context").agg(run.alias("windows"))
-    judged = judged.union(dealt_windows)
-    verdicts = shared.where("whole").select(F.col("gram").alias("s_gram"), F.col("context").alias("s_context"), F.lit(None).cast("array<int>").alias("windows")).union(judged)
+    verdicts = judged.union(dealt_windows)
     members = texts.mapInArrow(find, places)
     back = members.join(verdicts, (F.col("gram") == F.col("s_gram")) & (F.col("context") == F.col("s_context")))
     back = back.select("k1", "k2", "place", "windows").mapInArrow(spread, "k1 long, k2 long, runs array<int>")
