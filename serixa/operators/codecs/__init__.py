@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from . import container, peers
+from .byte_peers import BYTE_PEERS
 from .residual import DELTA, FIRE, I16, NONE, TICK8, samples, to_bytes
 
 
@@ -31,6 +32,7 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "drh": _series(peers.drh_encode, peers.drh_decode),
     "proglz": _series(peers.proglz_encode, peers.proglz_decode),
     "schulduhr": _series(peers.schulduhr_encode, peers.schulduhr_decode),
+    **BYTE_PEERS,
 }
 #: Codecs of whole 16-bit samples only.
 SAMPLES_ONLY = frozenset(("sprintz_d", "drh", "proglz", "schulduhr"))

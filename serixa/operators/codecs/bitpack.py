@@ -45,22 +45,45 @@ def encode(z: np.ndarray) -> bytes:
 
 
 def read_blocks(reader: BitReader, count: int) -> np.ndarray:
-    """count residuals; a run that passes the end is an error."""
+    """count residuals; a run that passes the end is an error.
+
+    The headers are walked one by one; the residuals of all blocks of one width are unpacked at once.
+    """
     blocks = -(-count // BLOCK)
-    out = np.zeros(blocks * BLOCK, np.int64)
-    at = 0
-    while at < blocks:
-        nb = reader.take(5)
-        if nb > 16:
-            raise CodecError(SRC, "block width over 16")
-        if nb == 0:
-            at += reader.take(8) + 1
-            if at > blocks:
-                raise CodecError(SRC, "zero run passes the end")
+    data, at, end = reader.data + b"\0", reader.at, reader.end
+    held, places, sizes = [], [], []
+    done = 0
+    while done < blocks:
+        first = at >> 3
+        if at + 5 > end:
+            raise CodecError(SRC, "bits run out")
+        nb = (data[first] | data[first + 1] << 8) >> (at & 7) & 31
+        if nb:
+            held.append(done)
+            places.append(at + 5)
+            sizes.append(nb)
+            at += 5 + BLOCK * nb
+            done += 1
+            if nb > 16:
+                raise CodecError(SRC, "block width over 16")
+            if at > end:
+                raise CodecError(SRC, "bits run out")
         else:
-            out[at * BLOCK : (at + 1) * BLOCK] = reader.take_many(BLOCK, nb)
-            at += 1
-    return out[:count]
+            if at + 13 > end:
+                raise CodecError(SRC, "bits run out")
+            done += (int.from_bytes(data[first : first + 3], "little") >> (at & 7) + 5 & 255) + 1
+            at += 13
+            if done > blocks:
+                raise CodecError(SRC, "zero run passes the end")
+    begin = reader.at >> 3
+    bits = np.unpackbits(np.frombuffer(reader.data[begin : at + 7 >> 3], np.uint8), bitorder="little")
+    reader.at = at
+    out = np.zeros((blocks, BLOCK), np.int64)
+    held, places, sizes = np.array(held, np.int64), np.array(places, np.int64) - 8 * begin, np.array(sizes, np.int64)
+    for nb in np.flatnonzero(np.bincount(sizes, minlength=1)).tolist():
+        own = np.flatnonzero(sizes == nb)
+        out[held[own]] = bits[places[own, None] + np.arange(BLOCK * nb)].reshape(-1, BLOCK, nb) @ (1 << np.arange(nb, dtype=np.int64))
+    return out.ravel()[:count]
 
 
 def decode(data: bytes, count: int) -> np.ndarray:

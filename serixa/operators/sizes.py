@@ -80,6 +80,27 @@ def compact_sizes(residuals: DataFrame) -> DataFrame:
     )
 
 
+def both_sizes(residuals: DataFrame) -> DataFrame:
+    """stream_sizes and compact_sizes in one pass: blocks don't cross chunks, so the same widths serve both."""
+    widths = blocks(residuals, tile=CHUNK)
+
+    def cost(*keys: str) -> Column:
+        along = W.partitionBy(*keys).orderBy("block")
+        begins = F.max(F.when(F.col(f"fresh_{len(keys)}"), F.col("block"))).over(along.rowsBetween(W.unboundedPreceding, 0))
+        return F.when(F.col("nb") > 0, 5 + 8 * F.col("nb")).when((F.col("block") - begins) % 256 == 0, 13).otherwise(0)
+
+    fresh = lambda *keys: (F.col("nb") == 0) & (F.coalesce(F.lag("nb").over(W.partitionBy(*keys).orderBy("block")), F.lit(1)) != 0)
+    rows = widths.withColumns({"fresh_1": fresh("series_id"), "fresh_2": fresh("series_id", "chunk")})
+    rows = rows.withColumns({"whole_cost": cost("series_id"), "chunk_cost": cost("series_id", "chunk")})
+    chunks = rows.groupBy("series_id", "chunk").agg(F.sum("whole_cost").alias("whole_bits"), F.sum("chunk_cost").alias("bits"), F.sum("n").alias("samples"), (F.max("nb") == 0).alias("all_zero"))
+    raw, packed = 2 * F.col("samples"), whole_bytes(F.col("bits"))
+    over = F.when(F.col("samples") == CHUNK, 2).otherwise(3)
+    record = F.when(F.col("all_zero"), 2).when((packed < raw) & (packed <= 255), packed + over).otherwise(2 + raw)
+    sums = chunks.groupBy("series_id").agg(F.sum("samples").alias("n"), (F.sum(record) + HEADER).cast("long").alias("stream_bytes"), whole_bytes(F.sum("whole_bits")).alias("packed_bytes"))
+    orig = 2 * F.col("n")
+    return sums.select("series_id", "n", orig.alias("orig_bytes"), "packed_bytes", (F.col("packed_bytes") + COMPACT_HEAD).alias("compact_bytes"), ((orig >= 64) & (F.col("packed_bytes") < orig)).alias("eligible"), "stream_bytes")
+
+
 def lz_friendly(series: DataFrame) -> DataFrame:
     """(series_id, checks, same, friendly): whether 2 of 5 of the first 255 steps repeat the sample before."""
     along = W.partitionBy("series_id").orderBy("idx")

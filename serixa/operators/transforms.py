@@ -61,26 +61,6 @@ def tick_inverse(residuals: DataFrame) -> DataFrame:
     return residuals.withColumn("ts", ts).withColumn("px", bits.wrap32(F.pmod(total("zpx"), whole).cast("long")))
 
 
-FIRE_START = "named_struct('p', 0, 'q', 0, 'gain', 256, 'out', cast(array() as array<int>))"
-
-
-def _fire(forward: bool) -> str:
-    """The fold of one series: p and q are the last two samples, gain weighs their slope."""
-    guess = "greatest(-32768, least(32767, a.p + shiftright((a.p - a.q) * a.gain, 8)))"
-    error = f"(((v - {guess}) + 32768) & 65535) - 32768" if forward else "v"
-    value = "v" if forward else f"(({guess} + v + 32768) & 65535) - 32768"
-    kept = f"cast({error} as int)" if forward else f"cast({value} as int)"
-    agrees = f"((a.p - a.q) > 0) = (({error}) > 0)"
-    gain = f"case when a.p = a.q or ({error}) = 0 then a.gain when {agrees} then least(256, a.gain + 1) else greatest(0, a.gain - 1) end"
-    return f"named_struct('p', cast({value} as int), 'q', a.p, 'gain', cast({gain} as int), 'out', array_append(a.out, {kept}))"
-
-
-def fire_fold(arrays: DataFrame, forward: bool = True, column: str = "xs") -> DataFrame:
-    """es of xs (or back) by a fold inside the JVM; good for series of up to some thousand samples."""
-    fold = f"aggregate({column}, {FIRE_START}, (a, v) -> {_fire(forward)}).out"
-    return arrays.withColumn("es" if forward else "xs", F.expr(fold))
-
-
 def as_arrays(series: DataFrame, value: str = "x", out: str = "xs") -> DataFrame:
     """(series_id, out): one ordered array per series."""
     pairs = F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("int").alias("v"))))
@@ -88,7 +68,7 @@ def as_arrays(series: DataFrame, value: str = "x", out: str = "xs") -> DataFrame
 
 
 def fire_arrow(arrays: DataFrame, forward: bool = True) -> DataFrame:
-    """The same over Arrow batches: all series of a batch advance together, a sample at a time."""
+    """es of xs (or back) over Arrow batches: all series of a batch advance together, a sample at a time."""
     from .codecs import residual
 
     take, give = ("xs", "es") if forward else ("es", "xs")

@@ -52,7 +52,6 @@ def payload_sizes(spark, sf_dir):
     return longs(coded.select("series_id", "codec", "n_bytes", F.octet_length("payload").alias("coded")))
 
 
-QUERIES["payload_sizes"] = payload_sizes
 # the explicit predictor is a stream in the host profile too; its packed records beat range coding at these widths or not, so only closed forms are compared
 ORACLES["payload_sizes_closed_form"] = f"""WITH st AS ({sql.stream_sizes(sql.SUPPLIER_SERIES, "li")} SELECT * FROM streams), co AS ({sql.compact_sizes(sql.SUPPLIER_SERIES, "li")} SELECT * FROM sizes)
 SELECT series_id, 'sprintz_d' AS codec, orig_bytes AS n_bytes, packed_bytes + 5 AS coded FROM co
@@ -112,7 +111,8 @@ def push_stream_roundtrip(spark, sf_dir):
     rows = rows.select("key", F.col("seq").cast("long").alias("seq"), F.substring(F.col("data"), F.col("seq") * 17 + 1, F.lit(17)).alias("data"), (F.col("seq") == F.col("n") - 1).alias("last"))
     coded = processors.run(rows, "encode").select("key", "seq", "data", F.col("done").alias("last"))
     back = processors.run(coded, "decode").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
-    whole = back.select(F.col("key").alias("series_id"), F.lit("push").alias("codec"), F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.data))").alias("data"))
+    texts = F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), "")  # joined in one go
+    whole = back.select(F.col("key").alias("series_id"), F.lit("push").alias("codec"), F.unhex(texts).alias("data"))
     return longs(columns.samples_of(whole.withColumn("error", F.lit(0))).select("series_id", "idx", "x"))
 
 
@@ -163,6 +163,11 @@ def crc32_documents(spark, sf_dir):
 
 
 QUERIES["crc32_documents"] = crc32_documents
+ORACLES["crc32_documents"] = """WITH RECURSIVE steps(n, c, k) AS (
+  SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY n) AS l FROM steps WHERE k = 8),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS bytes FROM documents)
+SELECT doc_id, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, l[(xor(a, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM b, tbl"""
 
 
 def tag_counters(spark, sf_dir):

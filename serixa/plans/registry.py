@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec_queries, report_queries, series_queries  # noqa: F401  each adds its own
+from . import codec_queries, file_queries, report_queries, series_queries  # noqa: F401  each adds its own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import columns, sizes, transforms
+from ..operators import sizes, transforms
 from ..sources import generators, series
 from . import sql
 from .series_queries import ORACLES, QUERIES, longs
 
 #: Preference among codecs of equal ratio.
 PEERS = ["core", "sprintz_d", "deployable", "store"]
-#: Published code sizes of the codecs on the smallest target, in bytes.
-FLASH = {"core": 5384, "sprintz_d": 2236, "store": 6488}
 
 
 def one_decimal(x: Column) -> Column:
     return F.floor(x * 10 + 0.5) / 10
 
 
-def ratio_rows(spark, sf_dir) -> DataFrame:
-    """(corpus, codec, orig, coded, ratio): closed-form sizes of every user and supplier series."""
+def wide_rows(spark, sf_dir) -> DataFrame:
+    """(corpus, orig, and the coded bytes of each codec): closed-form sizes of every user and supplier series, in one pass."""
     parts = []
     for kind, make in (("user", series.user_cents), ("supplier", series.supplier_quantities)):
-        residuals = transforms.delta(make(spark, sf_dir))
-        joined = sizes.compact_sizes(residuals).join(sizes.stream_sizes(residuals).drop("n"), "series_id")
+        rows = sizes.both_sizes(transforms.delta(make(spark, sf_dir)))
         coded = {"core": F.when(F.col("eligible"), F.col("compact_bytes")).otherwise(F.col("stream_bytes")), "sprintz_d": F.col("packed_bytes") + 5, "deployable": F.col("stream_bytes"), "store": F.col("orig_bytes") + 34}
-        rows = F.explode(F.array(*(F.struct(F.lit(c).alias("codec"), v.cast("long").alias("coded")) for c, v in coded.items())))
-        parts.append(joined.select(F.concat(F.lit(f"{kind}_"), F.col("series_id").cast("string")).alias("corpus"), F.col("orig_bytes").alias("orig"), rows.alias("r")))
-    both = parts[0].unionByName(parts[1]).select("corpus", "r.codec", "orig", "r.coded")
+        parts.append(rows.select(F.concat(F.lit(f"{kind}_"), F.col("series_id").cast("string")).alias("corpus"), F.col("orig_bytes").alias("orig"), *(coded[c].cast("long").alias(c) for c in PEERS)))
+    return parts[0].unionByName(parts[1])
+
+
+def ratio_of(codec: str) -> Column:
+    return one_decimal(F.lit(100.0) * F.col(codec) / F.col("orig"))
+
+
+def ratio_rows(spark, sf_dir) -> DataFrame:
+    """(corpus, codec, orig, coded, ratio): a row per series and codec."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("codec"), F.col(c).alias("coded")) for c in PEERS)))
+    both = wide_rows(spark, sf_dir).select("corpus", "orig", each.alias("r")).select("corpus", "r.codec", "orig", "r.coded")
     return longs(both).withColumn("ratio", one_decimal(F.lit(100.0) * F.col("coded") / F.col("orig")))
 
 
@@ -53,18 +59,16 @@ _add("ratio_table", ratio_rows, f"WITH {RATIOS} SELECT corpus, codec, orig, code
 
 
 def ratio_pivot(spark, sf_dir):
-    return ratio_rows(spark, sf_dir).groupBy("corpus").pivot("codec", PEERS).agg(F.first("ratio"))
+    return wide_rows(spark, sf_dir).select("corpus", *(ratio_of(c).alias(c) for c in PEERS))
 
 
 _add("ratio_pivot", ratio_pivot, f"WITH {RATIOS} SELECT corpus, {', '.join(f'max(ratio) FILTER (codec = {p!r}) AS {p}' for p in PEERS)} FROM ratios GROUP BY corpus")
 
 
-def rank(codec: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, PEERS)), codec)
-
-
 def best_codec(spark, sf_dir):
-    return ratio_rows(spark, sf_dir).groupBy("corpus").agg(F.min_by("codec", F.struct("ratio", rank(F.col("codec")).alias("rank"))).alias("best"), F.min("ratio").alias("ratio"))
+    """The codec of the least ratio; of equal ones the first among the peers."""
+    options = F.least(*(F.struct(ratio_of(c).alias("ratio"), F.lit(i).alias("rank"), F.lit(c).alias("codec")) for i, c in enumerate(PEERS)))
+    return wide_rows(spark, sf_dir).select("corpus", options.alias("o")).select("corpus", F.col("o.codec").alias("best"), F.col("o.ratio").alias("ratio"))
 
 
 _add("best_codec", best_codec, f"WITH {RATIOS} SELECT corpus, arg_min(codec, ratio * 100 + list_position({PEERS}, codec)) AS best, min(ratio) AS ratio FROM ratios GROUP BY corpus")
@@ -87,11 +91,9 @@ SELECT regexp_extract(corpus, '^([a-z]+)_', 1) AS kind, count(*) FILTER (core <
 
 def profile_delta_pp(spark, sf_dir):
     """Deployable rows with the host's, where there is one: points gained, and whether the deployable ratio warns."""
-    rows = ratio_rows(spark, sf_dir)
-    deployable = rows.where("codec = 'deployable'").select("corpus", F.col("ratio").alias("deployable"))
-    host = rows.where("codec = 'core' and ratio < 100").select("corpus", F.col("ratio").alias("host"))
-    joined = deployable.join(host, "corpus", "left")
-    return joined.select("corpus", "deployable", "host", one_decimal(F.col("host") - F.col("deployable")).alias("delta_pp"), (F.col("deployable") > 95).alias("warns"))
+    host, deployable = F.when(ratio_of("core") < 100, ratio_of("core")), ratio_of("deployable")
+    rows = wide_rows(spark, sf_dir).select("corpus", deployable.alias("deployable"), host.alias("host"))
+    return rows.select("corpus", "deployable", "host", one_decimal(F.col("host") - F.col("deployable")).alias("delta_pp"), (F.col("deployable") > 95).alias("warns"))
 
 
 _add(
@@ -102,20 +104,6 @@ SELECT corpus, deployable, host, floor((host - deployable) * 10 + 0.5) / 10 AS d
 )
 
 
-def flash_plus_payload(spark, sf_dir):
-    """Code size and payload of the suppliers' series, for codecs whose code size is known."""
-    flash = spark.createDataFrame(list(FLASH.items()), "codec string, flash long")
-    rows = ratio_rows(spark, sf_dir).where(F.col("corpus").startswith("supplier_"))
-    return rows.join(F.broadcast(flash), "codec").select("corpus", "codec", "coded", "flash", (F.col("flash") + F.col("coded")).alias("flash_plus_coded"))  # three rows
-
-
-_add(
-    "flash_plus_payload",
-    flash_plus_payload,
-    f"WITH {RATIOS}, f(codec, flash) AS (VALUES {', '.join(f'({c!r}, {n})' for c, n in FLASH.items())}) SELECT corpus, codec, coded, CAST(flash AS BIGINT) AS flash, flash + coded AS flash_plus_coded FROM ratios JOIN f USING (codec) WHERE corpus LIKE 'supplier!_%' ESCAPE '!'",
-)
-
-
 def suite_rows(spark, sf_dir):
     """The rows of a fixed suite of corpora that have a core ratio, in the suite's order."""
     suite = spark.createDataFrame([(f"supplier_{i}", i) for i in (7, 3, 9, 10**9)] + [("user_1", 4)], "corpus string, place long")
@@ -141,9 +129,8 @@ def roi(rows: DataFrame, interval_s=300.0, batch=12, sample_bytes=2, header=12,
 
 def with_fallback(spark, sf_dir) -> DataFrame:
     """Deployable ratios of the users' series, 59.9 where it isn't below 100."""
-    rows = ratio_rows(spark, sf_dir).where("codec = 'deployable' and corpus like 'user%'")
-    known = rows.where("ratio < 100").select("corpus", F.col("ratio").alias("known"))
-    return rows.select("corpus").join(known, "corpus", "left").select("corpus", F.coalesce("known", F.lit(59.9)).alias("ratio"))
+    ratio = ratio_of("deployable")
+    return wide_rows(spark, sf_dir).where("corpus like 'user%'").select("corpus", F.when(ratio < 100, ratio).otherwise(F.lit(59.9)).alias("ratio"))
 
 
 def roi_model(spark, sf_dir):
@@ -172,19 +159,43 @@ def payload_rate(spark, sf_dir):
 _add("payload_rate", payload_rate, f"WITH {RATIOS} SELECT corpus, CAST(14000 AS BIGINT) AS raw_rate, CAST(floor(14000.0::DOUBLE * ratio / 100 + 0.5) AS BIGINT) AS coded_rate, CAST(floor(100 - ratio + 0.5) AS BIGINT) AS saved_percent FROM ratios WHERE codec = 'deployable' AND corpus LIKE 'supplier%'")
 
 
-def corpus_ratios(spark, sf_dir):
-    """Real payload sizes of every generated corpus under every codec that takes it, each verified by its round trip."""
-    kinds = {"ticks": "core_tick8", "ticks_16k": "core_tick8", "logline_16k": "core_bytes", "random_16k": "core_bytes"}
-    peers = ["drh", "sprintz_d", "proglz", "schulduhr"]
-    out = None
-    for codecs, names in (([c, f"{c}_deployable"] + (peers if c == "core" else []), [n for n in generators.CORPORA if kinds.get(n, "core") == c]) for c in ("core", "core_tick8", "core_bytes")):
-        data = generators.corpus_rows(spark, names).select(F.col("corpus"), F.crc32(F.col("corpus").cast("binary")).alias("series_id"), "data")
-        coded = columns.encode(data, codecs, fail=True)
-        names_ = spark.createDataFrame([(n,) for n in names], "corpus string").withColumn("series_id", F.crc32(F.col("corpus").cast("binary")))
-        intact = columns.decode(coded, fail=True).select("series_id", "codec", (F.col("error") == 0).alias("intact"))
-        rows = coded.join(names_, "series_id").join(intact, ["series_id", "codec"]).select("corpus", "codec", F.col("n_bytes").alias("orig"), F.octet_length("payload").cast("long").alias("coded"), "intact")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+SAMPLE_PEERS, BYTES_PEERS = ["drh", "sprintz_d", "proglz", "schulduhr"], ["windowed", "lz4", "deflate", "zstd"]
+#: Frontends of the corpora that aren't 16-bit samples.
+FRONTENDS = {"ticks": "core_tick8", "ticks_16k": "core_tick8", "logline_16k": "core_bytes", "random_16k": "core_bytes"}
+
+
+def corpus_ratios(spark, sf_dir, names: list[str] | None = None, peers: list[str] | None = None):
+    """(corpus, codec, orig, coded, intact): real payload sizes of generated corpora under every codec that takes them.
+
+    Each payload is made once and verified by its round trip in the same task.
+    """
+    import zlib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from ..operators.codecs import CODECS
+    from ..operators.codecs.byte_peers import FRONT
+
+    wanted = SAMPLE_PEERS + BYTES_PEERS if peers is None else peers
+    pairs = []
+    for name in names or list(generators.CORPORA):
+        core = FRONTENDS.get(name, "core")
+        pairs += [(name, c) for c in (core, f"{core}_deployable", *(p for p in wanted if core == "core" or p in BYTES_PEERS))]
+    schema = "corpus string, codec string, orig long, coded long, intact boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, codec in zip(batch.column("corpus").to_pylist(), batch.column("codec").to_pylist()):
+                data = generators.CORPORA[name]()
+                payload = CODECS[codec][0](data)
+                back = CODECS[codec][1](payload)
+                rows.append((name, codec, len(data), len(payload) - FRONT.get(codec, 0), zlib.crc32(back) == zlib.crc32(data) and back == data))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.createDataFrame(pairs, "corpus string, codec string").repartition(len(pairs), "corpus", "codec").mapInArrow(run, schema)
 
 
 #: Published sizes of the generated corpora.
@@ -192,14 +203,17 @@ PUBLISHED = """harness128 core 128 106|harness128 drh 128 15|harness128 sprintz_
 timeseries_i16 core 160000 93932|timeseries_i16 core_deployable 160000 95209|timeseries_i16 drh 160000 119842|timeseries_i16 sprintz_d 160000 93932|timeseries_i16 proglz 160000 104866|timeseries_i16 schulduhr 160000 408694
 timeseries_16k core 16384 9627|timeseries_16k drh 16384 12273|timeseries_16k sprintz_d 16384 9627|timeseries_16k proglz 16384 10771|timeseries_16k schulduhr 16384 41852
 ticks core_tick8 144000 35257|ticks core_tick8_deployable 144000 145158|ticks_16k core_tick8 16384 4027|logline_16k core_bytes 16384 9707|random_16k core_bytes 16384 16544
-joint_7axis_1khz_10s core 140000 41074|joint_7axis_1khz_10s core_deployable 140000 45193|joint_7axis_1khz_10s drh 140000 80284|joint_7axis_1khz_10s sprintz_d 140000 44071|joint_7axis_1khz_10s proglz 140000 57370|joint_7axis_1khz_10s schulduhr 140000 321826"""
+joint_7axis_1khz_10s core 140000 41074|joint_7axis_1khz_10s core_deployable 140000 45193|joint_7axis_1khz_10s drh 140000 80284|joint_7axis_1khz_10s sprintz_d 140000 44071|joint_7axis_1khz_10s proglz 140000 57370|joint_7axis_1khz_10s schulduhr 140000 321826
+harness128 windowed 128 144|harness128 lz4 128 130|timeseries_i16 windowed 160000 166699|timeseries_i16 lz4 160000 160629|timeseries_16k windowed 16384 17060|timeseries_16k lz4 16384 16450
+ticks windowed 144000 73769|ticks lz4 144000 86175|ticks_16k windowed 16384 8492|ticks_16k lz4 16384 10448|logline_16k windowed 16384 1693|logline_16k lz4 16384 102
+random_16k windowed 16384 18393|random_16k lz4 16384 16450|joint_7axis_1khz_10s windowed 140000 144184|joint_7axis_1khz_10s lz4 140000 103638"""
 PUBLISHED = [(a, b, int(c), int(d)) for a, b, c, d in (x.split() for x in PUBLISHED.replace("\n", "|").split("|"))]
 
 
 def corpus_ratios_published(spark, sf_dir):
     """corpus_ratios, where published sizes are known."""
     known = spark.createDataFrame([(a, b) for a, b, *_ in PUBLISHED], "corpus string, codec string")
-    return corpus_ratios(spark, sf_dir).join(F.broadcast(known), ["corpus", "codec"])  # some thirty rows
+    return corpus_ratios(spark, sf_dir, peers=[*SAMPLE_PEERS, "windowed", "lz4"]).join(F.broadcast(known), ["corpus", "codec"])  # some fifty rows
 
 
 _add("corpus_ratios_published", corpus_ratios_published, "SELECT * FROM (VALUES " + ", ".join(f"({a!r}, {b!r}, {c}::BIGINT, {d}::BIGINT, true)" for a, b, c, d in PUBLISHED) + ") t(corpus, codec, orig, coded, intact)")
@@ -237,7 +251,7 @@ SELECT CASE WHEN all_zero THEN 'zero' WHEN (bits + 7) // 8 < 2 * samples AND (bi
 def focus_peers(spark, sf_dir):
     """Coded bytes of the focus corpora under each codec, one column a codec."""
     focus = ["timeseries_16k", "joint_7axis_1khz_10s", "harness128"]
-    rows = corpus_ratios(spark, sf_dir).where(F.col("corpus").isin(focus))
+    rows = corpus_ratios(spark, sf_dir, focus, SAMPLE_PEERS)
     return rows.groupBy("corpus").pivot("codec", ["core", "sprintz_d", "drh", "proglz", "schulduhr"]).agg(F.first("coded"))
 
 
@@ -248,7 +262,50 @@ _add(
 )
 
 
-def host_timing(spark, sf_dir, corpus: str = "timeseries_16k", loops: int = 5, warm: int = 1):
+def corpus_scorecard(spark, sf_dir):
+    """(peer, wins, total): how many generated corpora the core codec codes smaller than a peer, or as small."""
+    rows = corpus_ratios(spark, sf_dir, peers=["windowed", "lz4", "sprintz_d"]).withColumn("codec", F.when(F.col("codec").isin(*set(FRONTENDS.values())), "core").otherwise(F.col("codec")))
+    wide = rows.groupBy("corpus").pivot("codec", ["core", "windowed", "lz4", "sprintz_d"]).agg(F.first("coded"))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("peer"), F.col(p).alias("coded")) for p in ("windowed", "lz4", "sprintz_d"))))
+    return wide.select("core", each.alias("p")).where("p.coded is not null").groupBy("p.peer").agg(F.count_if(F.col("core") <= F.col("p.coded")).alias("wins"), F.count("*").alias("total"))
+
+
+def _scores() -> str:
+    core = {a: d for a, b, _, d in PUBLISHED if b in ("core", *FRONTENDS.values())}
+    rows = []
+    for peer in ("windowed", "lz4", "sprintz_d"):
+        coded = {a: d for a, b, _, d in PUBLISHED if b == peer}
+        rows.append(f"({peer!r}, {sum(core[a] <= d for a, d in coded.items())}::BIGINT, {len(coded)}::BIGINT)")
+    return ", ".join(rows)
+
+
+_add("corpus_scorecard", corpus_scorecard, f"SELECT * FROM (VALUES {_scores()}) t(peer, wins, total)")
+
+
+#: Published code and state sizes (target, codec, flash, state), where known.
+DEVICE = [("cortex-m3", "core", 4920, 2568), ("cortex-m3", "windowed", 2168, 1856), ("cortex-m3", "lz4", 4308, 0), ("cortex-m3", "deflate", 4116, 0), ("cortex-m0", "core", 5384, 2568), ("cortex-m0", "windowed", 2236, 1856), ("cortex-m0", "lz4", 6488, 0), ("cortex-m0", "deflate", 4828, 0)]
+
+
+def flash_plus_payload(spark, sf_dir):
+    """(corpus, codec, coded, flash, flash_plus_coded): code on the smallest target and payload of the corpora of 16 KiB."""
+    names = [n for n in generators.CORPORA if n.endswith("_16k")]
+    rows = corpus_ratios(spark, sf_dir, names, ["windowed", "lz4"]).where(~F.col("codec").endswith("_deployable"))
+    rows = rows.withColumn("codec", F.when(F.col("codec").startswith("core"), "core").otherwise(F.col("codec")))
+    flash = spark.createDataFrame([(c, f) for t, c, f, _ in DEVICE if t == "cortex-m0"], "codec string, flash long")
+    return rows.join(F.broadcast(flash), "codec").select("corpus", "codec", "coded", "flash", (F.col("flash") + F.col("coded")).alias("flash_plus_coded"))  # four rows
+
+
+#: Published sums of code and payload.
+SUMS = [("ticks_16k", 9411, 10728, 16936), ("timeseries_16k", 15011, 19296, 22938), ("logline_16k", 15091, 3929, 6590), ("random_16k", 21928, 20629, 22938)]
+_add(
+    "flash_plus_payload",
+    flash_plus_payload,
+    "WITH s(corpus, core, windowed, lz4) AS (VALUES " + ", ".join(map(str, SUMS)) + "), t AS (UNPIVOT s ON core, windowed, lz4 INTO NAME codec VALUE total), f(codec, flash) AS (VALUES ('core', 5384), ('windowed', 2236), ('lz4', 6488)) "
+    "SELECT corpus, codec, CAST(total - flash AS BIGINT) AS coded, CAST(flash AS BIGINT) AS flash, CAST(total AS BIGINT) AS flash_plus_coded FROM t JOIN f USING (codec)",
+)
+
+
+def host_timing(spark, sf_dir, corpus: str = "timeseries_16k", loops: int = 40, warm: int = 4):
     """(codec, orig, coded, enc_ns_med, dec_ns_med, enc_mb_s, dec_mb_s): upper medians over loops, one codec a task."""
     import time
     from collections.abc import Iterator
@@ -276,7 +333,7 @@ def host_timing(spark, sf_dir, corpus: str = "timeseries_16k", loops: int = 5, w
                 row = [codec, len(data), len(payload), median(lambda: encode(data)), median(lambda: decode(payload))]  # noqa: B023
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=[c.split()[0] for c in schema.split(", ")])
 
-    codecs = ["core_deployable", "core", "sprintz_d", "drh", "proglz", "schulduhr"]
+    codecs = ["core_deployable", "core", *SAMPLE_PEERS, *BYTES_PEERS]
     rows = spark.createDataFrame([(c,) for c in codecs], "codec string").repartition(len(codecs), "codec").mapInArrow(run, schema)
     rate = lambda ns: F.col("orig") / (1 << 20) / (F.col(ns) / 1e9)
     return rows.withColumn("enc_mb_s", rate("enc_ns_med")).withColumn("dec_mb_s", rate("dec_ns_med"))

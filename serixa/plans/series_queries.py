@@ -70,20 +70,14 @@ FIRE = f"WITH {sql.USER_SERIES}, l AS (SELECT series_id, list(x ORDER BY idx) AS
 
 @query(f"{FIRE} SELECT series_id, CAST(i - 1 AS BIGINT) AS idx, CAST(es[i] AS BIGINT) AS e FROM e, LATERAL (SELECT unnest(range(1, len(es) + 1)) AS i)")
 def fire_residuals(spark, sf_dir):
-    arrays = transforms.fire_fold(transforms.as_arrays(series.user_cents(spark, sf_dir)))
-    return longs(arrays.select("series_id", F.posexplode("es").alias("idx", "e")))
-
-
-@query(ORACLES["fire_residuals"])
-def fire_residuals_arrow(spark, sf_dir):
     arrays = transforms.fire_arrow(transforms.as_arrays(series.user_cents(spark, sf_dir)))
     return longs(arrays.select("series_id", F.posexplode("es").alias("idx", "e")))
 
 
 @query(ORACLES["delta_inverse"])
 def fire_inverse(spark, sf_dir):
-    arrays = transforms.fire_fold(transforms.as_arrays(series.user_cents(spark, sf_dir)))
-    back = transforms.fire_fold(arrays.select("series_id", "es"), False, "es")
+    arrays = transforms.fire_arrow(transforms.as_arrays(series.user_cents(spark, sf_dir)))
+    back = transforms.fire_arrow(arrays, False)
     return longs(back.select("series_id", F.posexplode("xs").alias("idx", "x")))
 
 
@@ -152,11 +146,8 @@ def delta_vs_fire_best(spark, sf_dir):
     plain = sizes.compact_sizes(transforms.delta(rows)).select("series_id", F.col("compact_bytes").alias("delta_bytes"))
     errors = transforms.fire_arrow(transforms.as_arrays(rows)).select("series_id", F.posexplode("es").alias("idx", "d"))
     learned = sizes.compact_sizes(errors.withColumn("z", bits.zigzag16(F.col("d")))).select("series_id", F.col("compact_bytes").alias("fire_bytes"))
-    choice = F.min_by(F.col("c.name"), F.struct("c.bytes", "c.rank"))
-    both = plain.join(learned, "series_id")
-    options = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_bytes").alias("bytes"), F.lit(i).alias("rank")) for i, n in enumerate(("delta", "fire"))))
-    best = both.select("series_id", "delta_bytes", "fire_bytes", F.explode(options).alias("c")).groupBy("series_id", "delta_bytes", "fire_bytes")
-    return longs(best.agg(choice.alias("best")))
+    best = F.when(F.col("fire_bytes") < F.col("delta_bytes"), "fire").otherwise("delta")
+    return longs(plain.join(learned, "series_id").select("series_id", "delta_bytes", "fire_bytes", best.alias("best")))
 
 
 @query("SELECT doc_id, strlen(text) AS n, strlen(text) + 32 + 2 * ((strlen(text) + 255) // 256) + 16 AS bound, CAST(0 AS BIGINT) AS scratch FROM documents")

@@ -14,6 +14,13 @@ LOG_LINE = "sensor;id=12;temp=21.50;ok\n"
 JOINTS = [(4500, 0.35, 0.0), (3200, 0.55, 0.7), (2800, 0.40, 1.2), (2100, 0.70, 2.1), (1500, 0.90, 0.3), (900, 1.10, 1.8), (600, 1.40, 2.6)]
 
 
+#: Factor and addend of the congruential generator, seeds, start values and spreads of the corpora.
+FACTOR, ADDEND = 1664525, 1013904223
+SERIES_SEED, SERIES_DECAY, SERIES_SIGMA = 7, 0.97, 90.0
+TICK_SEED, TICK_START, TICK_PRICE, TICK_SIGMA = 13, 1_700_000_000, 10_000, 4.0
+NOISE_SEED = 99
+
+
 class Lcg:
     """Linear congruential numbers of 32 bits, uniform and Gaussian draws."""
 
@@ -21,7 +28,7 @@ class Lcg:
         self.state = seed
 
     def next(self) -> int:
-        self.state = (self.state * 1664525 + 1013904223) & 0xFFFFFFFF
+        self.state = (self.state * FACTOR + ADDEND) & 0xFFFFFFFF
         return self.state
 
     def uniform(self) -> float:
@@ -39,18 +46,18 @@ def half_away(x: float) -> int:
 
 
 def timeseries(count: int = 80_000) -> bytes:
-    draw, x, out = Lcg(7), 0.0, []
+    draw, x, out = Lcg(SERIES_SEED), 0.0, []
     for _ in range(count):
-        x = 0.97 * x + draw.gauss(90.0)
+        x = SERIES_DECAY * x + draw.gauss(SERIES_SIGMA)
         out.append(max(-32767, min(32767, half_away(x))))
     return np.array(out, "<i2").tobytes()
 
 
 def ticks(count: int = 18_000) -> bytes:
-    draw, ts, px, out = Lcg(13), 1_700_000_000, 10_000, []
+    draw, ts, px, out = Lcg(TICK_SEED), TICK_START, TICK_PRICE, []
     for _ in range(count):
         ts += 1 + draw.next() % 5
-        px += half_away(draw.gauss(4.0))
+        px += half_away(draw.gauss(TICK_SIGMA))
         out.append(struct.pack("<Ii", ts, px))
     return b"".join(out)
 
@@ -64,7 +71,7 @@ def logline(n: int = 16_384) -> bytes:
 
 
 def noise(n: int = 16_384) -> bytes:
-    draw = Lcg(99)
+    draw = Lcg(NOISE_SEED)
     return bytes(draw.next() >> 16 & 255 for _ in range(n))
 
 

@@ -72,7 +72,7 @@ def labelled_series(spark: SparkSession, paths: list[str]) -> DataFrame:
     for split, path in enumerate(paths):
         parts = F.split(F.trim(F.regexp_replace("value", r"[\s,]+", " ")), " ")
         rows = numbered(spark, path).where(F.size(parts) > 1)
-        rows = rows.select(F.lit(split).alias("split"), "line", F.posexplode(F.slice(parts, 2, 1 << 20)).alias("at", "text"))
+        rows = rows.select(F.lit(split).alias("split"), "line", F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("at", "text"))
         rows = rows.select("split", "line", "at", F.col("text").try_cast("double").alias("v")).where("v is not null")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -87,14 +87,34 @@ def min_max_to_int16(rows: DataFrame, value: str = "v", keys: tuple[str, ...] =
     return joined.withColumn("x", F.greatest(F.lit(-32767), F.least(F.lit(32767), x)).cast("int")).drop("lo", "hi")
 
 
-RATIO_LINE = r"^(\S+)\s+(\S+)\s+(\d+)\s+(\d+)\s+([\d.]+%)\s*$"
-
-
 def ratio_lines(lines: DataFrame) -> DataFrame:
-    """(corpus, codec, orig, coded, ratio) of a harness's printed lines."""
-    part = lambda i: F.regexp_extract("value", RATIO_LINE, i)
-    rows = lines.where(F.col("value").rlike(RATIO_LINE))
-    return rows.select(part(1).alias("corpus"), part(2).alias("codec"), part(3).cast("long").alias("orig"), part(4).cast("long").alias("coded"), part(5).alias("ratio"))
+    """(corpus, codec, orig, coded, ratio) of printed lines of five words: two names, two whole numbers, a percentage."""
+    words = F.split(F.rtrim("value"), r"\s+")
+    number = lambda i: F.get("words", F.lit(i)).try_cast("long")
+    share = F.get("words", F.lit(4))
+    rows = lines.select(words.alias("words")).where(F.size("words") == 5).select(F.get("words", F.lit(0)).alias("corpus"), F.get("words", F.lit(1)).alias("codec"), number(2).alias("orig"), number(3).alias("coded"), share.alias("ratio"))
+    told = F.col("ratio").endswith("%") & F.rtrim("ratio", F.lit("%")).try_cast("double").isNotNull()
+    return rows.where((F.col("corpus") != "") & (F.col("orig") >= 0) & (F.col("coded") >= 0) & told)
+
+
+def section_sizes(lines: DataFrame) -> DataFrame:
+    """(image, flash, data, bss, ram) of a size listing's lines (image, value): a section, its size, and what follows."""
+    words = F.split(F.trim("value"), r"\s+")
+    rows = lines.select("image", F.get(words, F.lit(0)).alias("section"), F.get(words, F.lit(1)).try_cast("long").alias("size")).where("size is not null")
+    of = lambda name: F.coalesce(F.max_by(F.when(F.col("section") == name, F.col("size")), F.col("section") == name), F.lit(0)).cast("long")
+    sums = rows.groupBy("image").agg(of(".text").alias("flash"), of(".data").alias("data"), of(".bss").alias("bss"))
+    return sums.withColumn("ram", F.col("data") + F.col("bss"))
+
+
+def zeroed_symbols(lines: DataFrame, harness: list[str], library: list[str]) -> DataFrame:
+    """(image, harness, library, other): bytes of zeroed symbols (address, hexadecimal size, type, name) of lines (image, value) by owner."""
+    words = F.split(F.trim("value"), r"\s+")
+    word = lambda i: F.get(words, F.lit(i))
+    size = F.when(word(1).rlike("^[0-9a-fA-F]+$"), F.conv(word(1), 16, 10).cast("long"))
+    rows = lines.select("image", size.alias("size"), word(2).alias("type"), word(3).alias("name")).where(F.col("type").isin("B", "b", "C") & F.col("size").isNotNull() & F.col("name").isNotNull())
+    owner = F.when(F.col("name").isin(harness), "harness").when(F.col("name").isin(library), "library").otherwise("other")
+    sums = lambda who: F.coalesce(F.sum(F.when(owner == who, F.col("size"))), F.lit(0)).alias(who)
+    return rows.groupBy("image").agg(sums("harness"), sums("library"), sums("other"))
 
 
 def ablation_lines(lines: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Push encoding and decoding as keyed streaming state.
 
 Rows carry (key, seq, data, last): slices of a key's bytes in order of seq, from
-0 on; `last` ends it.  Slices that come early wait in the state; a seq that was
+0 on; `last` ends it.  Slices that come early wait in the state, however many; a seq that was
 taken before is dropped, so a replayed batch changes nothing.  A key's state is
 its encoder or decoder, some kilobytes, pickled.
 """
@@ -19,9 +19,6 @@ from ..operators.codecs.bitfields import CodecError
 from ..operators.codecs.container import Decoder, Encoder
 
 OUTPUT = "key long, seq long, data binary, done boolean, error int"
-#: Slices of a key that may wait for one that is missing.
-MOST_WAITING = 10_000
-
 
 class Machine:
     """One key's encoder or decoder with the order of its slices."""
@@ -49,9 +46,6 @@ class Machine:
             if made or final:
                 yield self.out, made, final, error
                 self.out += 1
-        if len(self.early) > MOST_WAITING:
-            self.ended = True
-            yield self.out, b"", True, -2
 
 
 class CodecProcessor(StatefulProcessor):
