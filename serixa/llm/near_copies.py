@@ -41,7 +41,7 @@ HASHES = BANDS * DEPTH
 _RANDOM = np.random.default_rng(SEED)
 _MASK, _FACTOR, _FOLD = (_RANDOM.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(odd) for odd in (0, 1, 1))
 #: Shingles of one part of a loose group that a task holds; larger groups are dealt as a grid of parts.
-CELL = 1 << 20
+CELL = 1 << 17
 #: How many standard deviations beyond its mean at the similarity a distance may lie.
 SIGMAS = 3.7
 
