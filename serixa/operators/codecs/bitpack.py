@@ -40,6 +40,35 @@ def fields(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values.ravel(), sizes.ravel()
 
 
+def encode_tiles(z: np.ndarray, tile: int) -> list[bytes]:
+    """encode() of each run of `tile` residuals, a multiple of the block, all at once."""
+    z = np.asarray(z, np.int64)
+    if not len(z):
+        return []
+    nb, per_tile = widths(z), tile // BLOCK
+    at = np.arange(len(nb))
+    owner = at // per_tile
+    zero = nb == 0
+    begins = zero & (~np.append(False, zero[:-1]) | (at % per_tile == 0))
+    start = np.maximum.accumulate(np.where(begins, at, 0))
+    token = zero & ((at - start) % RUN == 0)
+    ends = np.append(np.flatnonzero(~zero), len(nb))
+    stop = np.minimum(ends[np.searchsorted(ends, at)], (owner + 1) * per_tile)
+    extra = np.minimum(stop - at, RUN) - 1
+    head = np.flatnonzero(token | ~zero)
+    padded = np.zeros(len(nb) * BLOCK, np.int64)
+    padded[: len(z)] = z
+    full = np.where(zero[head], 0, nb[head])[:, None]
+    sizes = np.concatenate([np.full((len(head), 1), 5), np.where(zero[head], 8, 0)[:, None], np.repeat(full, BLOCK, axis=1), np.zeros((len(head), 1), np.int64)], axis=1)
+    bits = np.bincount(owner[head], sizes.sum(axis=1)).astype(np.int64)
+    last = np.append(np.flatnonzero(np.diff(owner[head])), len(head) - 1)
+    sizes[last, -1] = -bits % 8  # each tile begins a byte
+    values = np.concatenate([nb[head, None], extra[head, None], padded.reshape(-1, BLOCK)[head], np.zeros((len(head), 1), np.int64)], axis=1)
+    packed = pack_fields(values.ravel(), sizes.ravel())
+    bounds = np.append(0, np.cumsum(-(-bits // 8))).tolist()
+    return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def encode(z: np.ndarray) -> bytes:
     return pack_fields(*fields(z))
 

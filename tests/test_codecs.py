@@ -173,3 +173,48 @@ def test_genome():
     for cut in range(1, 20):
         with pytest.raises(CodecError):
             genome.fastq4_decode(genome.fastq4_encode(good)[:-cut])
+
+
+def test_whole_deployable_streams_equal_pushed_ones():
+    """Records made all at once are those of the push encoder, zeros, short ends and wide residuals included."""
+    from serixa.operators.codecs import container
+    from serixa.operators.codecs.residual import FIRE, I16
+
+    r = random.Random(21)
+    for _ in range(150):
+        x, out = 0, []
+        for _ in range(r.randint(1, 700)):
+            x = r.choice([x, x, x, x + r.randint(-3, 3), r.randint(-32768, 32767) if r.random() < 0.2 else x])
+            x = max(-32768, min(32767, x))
+            out += [x] * r.choice([1, 1, 1, 9, 200])
+        data = np.array(out, "<i2").tobytes()
+        for frontend in (I16, FIRE):
+            encoder = container.Encoder(frontend, "deployable", live=False)
+            body = encoder.push(data[:1001]) + encoder.push(data[1001:]) + encoder.finish()
+            head = container.Header(encoder.flags, len(data), len(body), zlib.crc32(data)).pack()
+            whole = container.stream_block(data, frontend, "deployable")
+            assert whole == head + body and container.decompress(whole) == data
+
+
+def test_memory_sink_refuses_what_does_not_fit():
+    from serixa.operators.codecs.bitfields import DST, CodecError
+    from serixa.sources.sinks import MemorySink
+
+    sink = MemorySink(5)
+    assert sink.write(b"abc") == 3
+    with pytest.raises(CodecError) as told:
+        sink.write(b"def")
+    assert told.value.code == DST and bytes(sink.data) == b"abc" and sink.write(b"de") == 2
+
+
+def test_broken_byte_peers():
+    from serixa.operators.codecs.bitfields import CodecError
+    from serixa.operators.codecs.byte_peers import BYTE_PEERS
+
+    for name, (encode, decode) in BYTE_PEERS.items():
+        for data in (b"", b"\0" * 700, b"abc" * 300, bytes(range(256)) * 3):
+            assert decode(encode(data)) == data
+        if name != "windowed":  # that one reads any bits
+            for broken in (b"\xff" * 20, encode(bytes(range(200)))[:9], b"\x01"):
+                with pytest.raises(CodecError):
+                    decode(broken)
