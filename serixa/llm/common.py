@@ -24,11 +24,14 @@ def settle(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder, so that a lost executor loses nothing.
 
     The folder is spark.checkpoint.dir of the session; a folder of this machine is
-    used only where none is set, as in tests.
+    used only by local sessions that set none, as tests do, and never on a cluster.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="serixa-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="serixa-"))
     return df.checkpoint(eager=True)
 
 

@@ -13,7 +13,7 @@ once and only hits are shuffled.
 
 Defined results: a null or empty text has no words, no places, empty labels and
 score 0; a null id stays null; repeated rows get a row each; very long texts are
-scanned whole; an empty table gives no rows.
+scanned whole; an empty table gives no rows; columns other than the two named are not read.
 """
 
 from __future__ import annotations

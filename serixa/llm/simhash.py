@@ -13,7 +13,9 @@ the checkpoint folder.  Nothing of this size is collected to the driver.
 
 Defined results: a null or blank text has fingerprint zero, which links as any
 other; a null id never names a component unless its component has no other id;
-repeated rows each get their row; an empty table gives no rows.
+repeated rows each get their row; an empty table gives no rows; texts of any length
+are hashed whole; columns other than the two named are not read.  Rounds of contractions go
+on until nothing changes: their number grows with the logarithm of a component's length.
 """
 
 from __future__ import annotations
@@ -245,7 +247,7 @@ def forest_edges(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return rows.repartition(shuffle_partitions(spark), "t", "v", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
     Alternates large and small star contractions.  Minima are aggregated before
@@ -264,13 +266,12 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
     pairs = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most):
+    while True:
         pairs = settle(star(star(pairs, True), False))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

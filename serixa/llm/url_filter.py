@@ -3,7 +3,7 @@
 A url's tokens are its host's labels and their hyphenated parts, its path's segments and its
 query's names.  FP-growth mines token sets of labelled urls, each with its label
 as one more item; rules `tokens -> label` are pruned by support, confidence and
-lift, and a rule goes where a shorter one within it is as sure.  Rules meet urls
+lift, and a rule goes where one of a token less within it is as sure.  Rules meet urls
 by an inverted index: a rule is posted under its rarest token only, and the other
 tokens are verified in the row.
 
@@ -11,7 +11,9 @@ Declared rules (host and path prefix) come first; the longest that fits decides.
 
 Defined results: host and path of a null url, or one without ://, are empty, and
 no rule fits; a null id stays null; repeated rows get a row each; an empty table
-gives no rows; without labels no rule is mined and all else is allowed.
+gives no rows; without labels no rule is mined and all else is allowed.  Of rules that tie
+in confidence one that blocks decides.  Urls of any length are read whole; columns other than
+those named are not read.
 """
 
 from __future__ import annotations
@@ -63,44 +65,42 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, least_support: float = 0.002, least_rows: int = 8, confidence: float = 0.8, lift: float = 1.2) -> DataFrame:
-    """(antecedent, confidence, support, lift): pruned rules for blocking, from rows (items, bad).
+    """(verdict, antecedent, confidence, support, lift): pruned rules for blocking and for allowing, from rows (items, bad).
 
     FP-growth keeps its frequent items on the driver; least_support bounds them.
     """
-    n, bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
+    n = labelled.count()
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double")
-    if not n or not bad:
-        return empty
-    support = max(least_support, least_rows / n)
-    if support > 1:
+    empty = spark.createDataFrame([], "verdict string, antecedent array<string>, confidence double, support double, lift double")
+    support = max(least_support, least_rows / max(n, 1))
+    if not n or support > 1:
         return empty
     rows = labelled.select(F.concat("items", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=shuffle_partitions(spark)).fit(rows)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    rules = rules.where((F.col("lift") >= lift) & ~F.array_contains("antecedent", GOOD))
-    rules = settle(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
-    # a longer rule goes where one within it is as sure: every proper subset of one token less is looked up
+    rules = model.associationRules.withColumn("verdict", F.when(F.col("consequent") == F.array(F.lit(BAD)), "block").when(F.col("consequent") == F.array(F.lit(GOOD)), "allow"))
+    rules = rules.where(F.col("verdict").isNotNull() & (F.col("lift") >= lift))  # a row has one label, so no antecedent holds the other
+    rules = settle(rules.select("verdict", F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
+    # a longer rule goes where one of one token less is as sure
     subsets = rules.where(F.size("antecedent") > 1).select(
-        "antecedent", "confidence", F.explode("antecedent").alias("left_out")
-    ).select("antecedent", F.col("confidence").alias("c"), F.array_remove("antecedent", F.col("left_out")).alias("subset"))
-    within = rules.select(F.col("antecedent").alias("subset"), F.col("confidence").alias("shorter"))
-    spent = subsets.join(within, "subset").where(F.col("shorter") >= F.col("c")).select("antecedent").distinct()
-    return rules.join(spent, "antecedent", "left_anti")
+        "verdict", "antecedent", "confidence", F.explode("antecedent").alias("left_out")
+    ).select("verdict", "antecedent", F.col("confidence").alias("c"), F.array_remove("antecedent", F.col("left_out")).alias("subset"))
+    within = rules.select("verdict", F.col("antecedent").alias("subset"), F.col("confidence").alias("shorter"))
+    spent = subsets.join(within, ["verdict", "subset"]).where(F.col("shorter") >= F.col("c")).select("verdict", "antecedent").distinct()
+    return rules.join(spent, ["verdict", "antecedent"], "left_anti")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(row, confidence, matched) of rows (row, items) that at least one rule fits; matched is the surest rule."""
-    posted = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
+    """(row, confidence, matched, how) of rows (row, items) that at least one rule fits: the surest one, of equal ones one that blocks, then the last by name."""
+    posted = rules.select("verdict", "antecedent", "confidence", F.explode("antecedent").alias("token"))
     index = settle(posted)
     wanted = index.select("token").distinct()
     seen = urls.select("row", "items", F.explode("items").alias("token"))
     frequency = seen.groupBy("token").count()
     rare = index.join(wanted.join(frequency, "token"), "token")
-    posting = rare.groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
+    posting = rare.groupBy("verdict", "antecedent", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
     hits = seen.join(posting, "token").where(F.size(F.array_except("antecedent", "items")) == 0)
-    best = F.max(F.struct("confidence", F.array_join("antecedent", " ").alias("name")))
-    return hits.groupBy("row").agg(best.alias("b")).select("row", F.col("b.confidence").alias("confidence"), F.col("b.name").alias("matched"))
+    best = F.max(F.struct("confidence", F.col("verdict").alias("how"), F.array_join("antecedent", " ").alias("name")))
+    return hits.groupBy("row").agg(best.alias("b")).select("row", F.col("b.confidence").alias("confidence"), F.col("b.name").alias("matched"), F.col("b.how").alias("how"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame:
@@ -119,5 +119,5 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame:
     host, path = host_column(url), path_column(url)
     rule, verdict = declared(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path")).join(found, F.col("url") == F.col("row"), "left")
-    by_method = F.when(F.col("matched").isNotNull(), "block").otherwise("allow")
+    by_method = F.coalesce("how", F.lit("allow"))
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "matched", "confidence")

@@ -66,7 +66,8 @@ def components(rows, radius=4):
     least = defaultdict(list)
     for i, f in marks:
         least[root(f)].append(i)
-    return sorted((i, f"{f:016x}", min((x for x in least[root(f)] if x is not None), default=None)) for i, f in marks)
+    rows = [(i, f"{f:016x}", min((x for x in least[root(f)] if x is not None), default=None)) for i, f in marks]
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):

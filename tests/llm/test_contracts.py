@@ -351,3 +351,56 @@ def test_pipeline_end_to_end(spark, sf_dir):
             tokenizer = Tokenizer.from_file(queries.tokenizer_path())
             assert brute.check_packing(docs.collect(), pairs(before), lambda t: tokenizer.encode(t, add_special_tokens=False).ids) == 0
         docs = spark.createDataFrame(docs.collect(), docs.schema)
+
+
+def test_mixing_copies_by_systematic_sampling(spark):
+    """Plain version: documents of a source by size and hash, one copy for each whole number that the running sum crosses."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = [(i, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "b", "c", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    hashed = {x.doc_id: x for x in docs.select("doc_id", "source", F.xxhash64("doc_id").alias("h"), F.xxhash64(F.lit(7), "source").alias("s"), mixing.word_count(F.col("text")).alias("n")).collect()}
+    found = {x.doc_id: x for x in mixing.mix(docs).collect()}
+    sizes = {}
+    for x in hashed.values():
+        sizes[x.source] = sizes.get(x.source, 0) + x.n
+    goal = brute.targets(sizes)
+    for source, size in sizes.items():
+        own = sorted((x for x in hashed.values() if x.source == source), key=lambda x: (x.n, x.h, x.doc_id))
+        rate, offset = goal[source] / size, (own[0].s % (1 << 20)) / (1 << 20)
+        for rank, x in enumerate(own):
+            copies = math.floor(offset + rate * (rank + 1)) - math.floor(offset + rate * rank)
+            assert found[x.doc_id].taken == copies * x.n
+
+
+def test_simhash_of_null_and_repeated_ids(spark, docs):
+    """Rows without an id are linked as others; their component is named by the least id that it has."""
+    found = sorted((str(r.doc_id), f"{r.fp & (1 << 64) - 1:016x}", str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
+    assert found == sorted((str(a), b, str(c)) for a, b, c in brute.components(pairs(docs)))
+
+
+def test_empty_tables_have_columns(spark, empty):
+    assert iso_media.digests(iso_media.store_texts(empty)).columns[:3] == ["doc_id", "n_bytes", "payload_bytes"]
+    assert suffix_dedup.digests(empty).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert langid.of_both(empty, pages).count() == 0
+    assert langid.of_both(empty, spark.createDataFrame([(1, "http://a.de/", "<p>x")], pages.schema)).collect()[0].lang is None
+
+
+def test_very_long_text_elsewhere(spark):
+    """One text of some megabytes in the operators that the other test leaves out."""
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    pieces = packing.pack(docs, queries.tokenizer_path()).collect()
+    assert sum(p.length for p in pieces if p.doc_id == 1) == next(p.doc_tokens for p in pieces if p.doc_id == 1) > 200_000
+    assert langid.of_documents(docs).count() == 2
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x/" * 100_000, f"<p>{long}</p>")], "page_id long, url string, html string")
+    from serixa.llm import html_text
+
+    assert html_text.extract(pages).first().text == long
+    judged = url_filter.judge(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).first()
+    assert judged.host == "a.com" and len(judged.path) == 200_001 and judged.verdict == "allow"

@@ -19,3 +19,46 @@ def test_rules_of_many_tokens(spark):
     rows = [(names, True)] * 40 + [([t for t in names if t != out], False) for out in names for _ in range(15)]
     mined = url_filter.mine(spark.createDataFrame(rows, "items array<string>, bad boolean")).collect()
     assert [(r.antecedent, r.confidence) for r in mined] == [(names, 1.0)]
+
+
+def plain_rules(rows, support, confidence, lift):
+    """rows: (tokens, bad); every token set by brute force: {(verdict, tokens): confidence}."""
+    from itertools import combinations
+
+    n = len(rows)
+    sets = {frozenset(c) for items, _ in rows for k in range(1, len(items) + 1) for c in combinations(sorted(set(items)), k)}
+    held = {}
+    for tokens in sets:
+        having = [bad for items, bad in rows if tokens <= set(items)]
+        for verdict, bad in (("block", True), ("allow", False)):
+            both, base = sum(b == bad for b in having), sum(b == bad for _, b in rows)
+            sure = both / len(having)
+            if both >= support * n and sure >= confidence and sure / (base / n) >= lift:
+                held[verdict, tokens] = sure
+    spent = {k for k, sure in held.items() if any(held.get((k[0], k[1] - {t}), -1) >= sure for t in k[1])}
+    return {k: v for k, v in held.items() if k not in spent}
+
+
+def test_mining_and_matching_equal_brute_force(spark):
+    import random
+
+    r = random.Random(12)
+    letters = "abcdefg"
+    rows = []
+    for _ in range(150):
+        items = sorted(r.sample(letters, r.randint(1, 5)))
+        bad = ("a" in items and "c" in items) or (r.random() < 0.25 and "g" not in items)
+        rows.append((items, bad))
+    mined = url_filter.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), 0.03, 4, 0.75, 1.1)
+    want = plain_rules(rows, max(0.03, 4 / len(rows)), 0.75, 1.1)
+    assert {(x.verdict, frozenset(x.antecedent)): round(x.confidence, 9) for x in mined.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert {v for v, _ in want} == {"block", "allow"} and max(len(t) for _, t in want) > 1
+    urls = [(f"u{i}", sorted(r.sample(letters + "xyz", r.randint(0, 6)))) for i in range(200)]
+    found = {x.row: (x.how, x.matched, round(x.confidence, 9)) for x in url_filter.match(spark.createDataFrame(urls, "row string, items array<string>"), mined).collect()}
+    for row, items in urls:
+        fits = [(sure, verdict, " ".join(sorted(tokens))) for (verdict, tokens), sure in want.items() if tokens <= set(items)]
+        if not fits:
+            assert row not in found
+            continue
+        sure, verdict, name = max(fits)
+        assert found[row] == (verdict, name, round(sure, 9))
