@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -113,6 +113,12 @@ def scan(
     return per_doc.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word", "last_word", names("b").alias("base_labels"), names("l").alias("labels"), "score", "spans")
 
 
+def listed(spans: Column) -> Column:
+    """Verified spans as text: label:first-last by place, comma-joined."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["first"], s["last"], s["label"])))
+    return F.array_join(F.transform(ordered, lambda s: F.concat(s["label"], F.lit(":"), s["first"].cast("string"), F.lit("-"), s["last"].cast("string"))), ",")
+
+
 def reference_scan(text: str | None, phrases: dict[str, str] = PHRASES) -> tuple:
     """(n_words, n_base, first, last, labels) of one text, word by word; for tests."""
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")

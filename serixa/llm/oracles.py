@@ -43,12 +43,13 @@ h AS (SELECT doc_id, place, template, label, exact, "at", grams, place - "at" AS
 v AS (SELECT doc_id, template, label, exact, grams, diagonal, min(place) AS first, max(place) AS last, list(DISTINCT "at") AS held FROM h GROUP BY ALL),
 f AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER o > {slack}, true) THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM f),
-s AS (SELECT doc_id, template, label, exact, grams, run, len(list_distinct(flatten(list(held)))) AS held, min(first) AS first FROM r GROUP BY doc_id, template, label, exact, grams, run),
+s AS (SELECT doc_id, template, label, exact, grams, run, len(list_distinct(flatten(list(held)))) AS held, min(first) AS first, max(last) + {k - 1} AS last FROM r GROUP BY doc_id, template, label, exact, grams, run),
 y AS (SELECT *, exact AND held = grams AS base, NOT exact AND held / grams >= {share}::DOUBLE AS other, CASE WHEN exact THEN 0.0 ELSE held / grams END AS met FROM s),
 a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
-  list_sort(list(DISTINCT label) FILTER (base)) AS b, list_sort(list(DISTINCT label) FILTER (base OR other)) AS l, greatest(max(CASE WHEN base THEN 1.0 ELSE 0.0 END), max(met)) AS score FROM y GROUP BY doc_id)
+  list_sort(list(DISTINCT label) FILTER (base)) AS b, list_sort(list(DISTINCT label) FILTER (base OR other)) AS l, greatest(max(CASE WHEN base THEN 1.0 ELSE 0.0 END), max(met)) AS score,
+  string_agg(label || ':' || first || '-' || last, ',' ORDER BY first, last, label) FILTER (base OR other) AS spans FROM y GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b, ','), '') AS base_labels,
-  coalesce(array_to_string(l, ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN a USING (doc_id)"""
+  coalesce(array_to_string(l, ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", license_scan.listed(F.col("spans")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
