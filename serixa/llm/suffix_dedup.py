@@ -52,7 +52,7 @@ def text_anchors(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np
     at, first, last, hashes = anchors(data, span, gram)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none.astype(np.int32), none
     up, down = _powers(len(data))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
@@ -62,7 +62,7 @@ def text_anchors(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np
         context ^= context >> np.uint64(31)
         context *= _MIX
         context ^= context >> np.uint64(30)
-    return hashes.view(np.int64), context.view(np.int64), first << 16 | (at - first) << 8 | (last - first)
+    return hashes.view(np.int64), (context >> np.uint64(32)).astype(np.uint32).view(np.int32), first << 16 | (at - first) << 8 | (last - first)
 
 
 def word_columns(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, backward: bool) -> np.ndarray:
@@ -160,7 +160,7 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
     if not gram <= span <= 256:
         raise ValueError("spans are gram to 256 bytes")
     parts = shuffle_partitions(dealt.sparkSession)
-    places = "gram long, context long, k1 long, k2 long, place long"
+    places = "gram long, context int, k1 long, k2 long, place long"
     names = [c.split()[0] for c in places.split(", ")]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +170,7 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
             found = [text_anchors(data[a:b], span, gram) for a, b in zip(offsets[:-1], offsets[1:])]
             counts = [len(f[0]) for f in found]
             g, c, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+            c = c.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, np.repeat(k1, counts), np.repeat(k2, counts), p)], names=names)
 
     def find_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +202,31 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
             yield batch.append_column("turn", pa.array(turn)).filter(pa.array((turn < 2) & (gram_before | gram_after)))
             batch = after
 
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stand-ins, with whether their gram has more of them than a bucket sorts; a gram's first ones wait till that is known."""
+        marked = lambda t, many: t.append_column("many", pa.array(many)).combine_chunks().to_batches()
+        held, passed = None, 0  # the last gram's rows, and how many of it have been passed on
+        for batch in neighbours(batches):
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([*(held.to_batches() if held is not None else ()), batch])
+            g = held["gram"].to_numpy()
+            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            counts = np.diff(np.append(starts, len(g)))
+            if passed and g[0] != passed_gram:
+                passed = 0
+            whole = int(starts[-1])
+            if whole:
+                many = np.repeat(counts[:-1] > crowd, counts[:-1])
+                many[: counts[0]] |= passed > 0
+                yield from marked(held.slice(0, whole), many)
+                held, passed = held.slice(whole), 0
+            if held.num_rows + passed > crowd:
+                yield from marked(held, np.ones(held.num_rows, bool))
+                passed, passed_gram, held = passed + held.num_rows, g[-1], None
+        if held is not None and held.num_rows:
+            yield from marked(held, np.full(held.num_rows, bool(passed and held["gram"][0].as_py() == passed_gram)))
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of each context that stands for others, from one row per text."""
         for batch in batches:
@@ -209,7 +235,7 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
             flat = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             # rows that are repeated hold each stand-in many times over; one is enough
-            keys = np.stack([flat.field(c).to_numpy() for c in ("gram", "context", "turn")])
+            keys = np.stack([flat.field(c).to_numpy().astype(np.int64) for c in ("gram", "context", "turn")])
             _, one = np.unique(keys, axis=1, return_index=True)
             flat, owner = flat.take(pa.array(one)), owner[one]
             place = flat.field("place").to_numpy()
@@ -227,7 +253,7 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
         lead, more = got["lead"].to_numpy(), got["more"].to_numpy()
         row, window = repeated_windows(data, offsets[:-1], lead, more, span)
         grams, wholes = got["gram"].to_numpy(), got["context"].to_numpy()
-        first = np.unique(np.stack([grams, wholes]), axis=1, return_index=True)[1]
+        first = np.unique(np.stack([grams, wholes.astype(np.int64)]), axis=1, return_index=True)[1]
         one = np.zeros(len(grams), bool)  # a context's other stand-ins have the same windows
         one[first] = True
         row, window = row[one[row]], window[one[row]]
@@ -267,19 +293,19 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
 
     texts = dealt.select("k1", "k2", "text", "rest")  # the same columns wherever it is used, so it is dealt once
     dealt_grams = texts.mapInArrow(find_few, places).repartition(parts, "gram").sortWithinPartitions("gram", "context", "k1", "k2", "place")
-    stand = dealt_grams.mapInArrow(neighbours, places + ", turn long").withColumnsRenamed({"k1": "s1", "k2": "s2"})
-    crowds = stand.groupBy("gram").count().where(F.col("count") > crowd).select("gram")
+    stand = dealt_grams.mapInArrow(crowded, places + ", turn long, many boolean").withColumnsRenamed({"k1": "s1", "k2": "s2"})
+
 
     def suffixes(chosen: DataFrame) -> DataFrame:
         # one row per text, so that a long text with many anchors is handed over once
         chosen = chosen.groupBy("s1", "s2").agg(F.collect_list(F.struct("gram", "context", "place", "turn")).alias("held"))
         held = texts.join(chosen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("held", "text", "rest")
-        return held.mapInArrow(contexts, "gram long, context long, lead long, more long, bytes binary")
+        return held.mapInArrow(contexts, "gram long, context int, lead long, more long, bytes binary")
 
-    few, many = suffixes(stand.join(crowds, "gram", "left_anti")), suffixes(stand.join(crowds, "gram", "left_semi"))
+    few, many = suffixes(stand.where("not many")), suffixes(stand.where("many"))
     leading = F.substring(F.col("bytes"), F.col("lead").cast("int") + 1, F.lit(gram))
-    judged = few.repartitionByRange(parts, leading).mapInArrow(bucket, "s_gram long, s_context long, windows array<int>")
-    loose = many.mapInArrow(windows_of, "gram long, context long, window int, key binary")
+    judged = few.repartitionByRange(parts, leading).mapInArrow(bucket, "s_gram long, s_context int, windows array<int>")
+    loose = many.mapInArrow(windows_of, "gram long, context int, window int, key binary")
     twice = loose.groupBy("key").count().where("count > 1").select("key")
     run = F.flatten(F.transform(F.array_sort(F.collect_set("window")), lambda w: F.array(w, w)))
     dealt_windows = loose.join(twice, "key", "left_semi").groupBy("gram", "context").agg(run.alias("windows"))
