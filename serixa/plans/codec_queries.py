@@ -142,7 +142,7 @@ def fastq4_roundtrip(spark, sf_dir):
 
     import pyarrow as pa
 
-    reads = dna(spark, sf_dir).select("doc_id", F.concat(F.lit("@r"), F.col("doc_id").cast("string"), F.lit("\n"), "dna", F.lit("\n+\n"), F.repeat(F.lit("I"), 32), F.lit("\n")).alias("record"))
+    reads = dna(spark, sf_dir).select("doc_id", F.concat(F.lit("@r"), F.col("doc_id").cast("string"), F.lit("\n"), "dna", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("dna")), F.lit("\n")).alias("record"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +154,8 @@ def fastq4_roundtrip(spark, sf_dir):
 
 
 QUERIES["fastq4_roundtrip"] = fastq4_roundtrip
-ORACLES["fastq4_roundtrip"] = f"""WITH {DNA} SELECT doc_id, '@r' || doc_id || chr(10) || dna || chr(10) || '+' || chr(10) || repeat('I', 32) || chr(10) AS record,
-CAST(8 + 2 + 2 + length(CAST(doc_id AS VARCHAR)) + 4 + 8 + 2 + 1 + 32 AS BIGINT) AS coded FROM dna"""
+ORACLES["fastq4_roundtrip"] = f"""WITH {DNA} SELECT doc_id, '@r' || doc_id || chr(10) || dna || chr(10) || '+' || chr(10) || repeat('I', length(dna)) || chr(10) AS record,
+CAST(8 + 2 + 2 + length(CAST(doc_id AS VARCHAR)) + 4 + (length(dna) + 3) // 4 + 2 + 1 + length(dna) AS BIGINT) AS coded FROM dna"""
 
 
 def crc32_documents(spark, sf_dir):

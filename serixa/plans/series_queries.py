@@ -201,23 +201,24 @@ def logline_bytes(spark, sf_dir):
     return longs(generators.logline_rows(spark))
 
 
-DNA = "dna AS (SELECT doc_id, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS dna FROM documents)"
+DNA = "dna AS (SELECT doc_id, translate(lower(hex(encode(text))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS dna FROM documents)"
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.read(spark, sf_dir, "documents").select("doc_id", F.translate(F.md5(F.col("text").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"))
+    """(doc_id, dna): every whole text as bases, two a byte."""
+    return series.read(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower(F.hex(F.col("text").cast("binary"))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"))
 
 
 @query(
-    f"""WITH {DNA}, e AS (SELECT doc_id, unnest(range(32)) AS i, dna FROM dna)
-SELECT doc_id, i // 4 AS at, CAST(sum((strpos('ACGT', substr(dna, CAST(i + 1 AS BIGINT), 1)) - 1) << (2 * (i % 4))) AS BIGINT) AS b FROM e GROUP BY doc_id, i // 4"""
+    f"""WITH {DNA}, l AS (SELECT doc_id, regexp_extract_all(dna, '.{{1,4}}') AS l FROM dna), e AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS four FROM l)
+SELECT doc_id, i AS at, CAST(sum_of AS BIGINT) AS b FROM (SELECT *, greatest(0, strpos('ACGT', four[1]) - 1) + CASE WHEN length(four) > 1 THEN 4 * (strpos('ACGT', four[2]) - 1) ELSE 0 END
+  + CASE WHEN length(four) > 2 THEN 16 * (strpos('ACGT', four[3]) - 1) ELSE 0 END + CASE WHEN length(four) > 3 THEN 64 * (strpos('ACGT', four[4]) - 1) ELSE 0 END AS sum_of FROM e)"""
 )
 def dna2_pack(spark, sf_dir):
-    code = F.instr(F.lit("ACGT"), F.substring("dna", F.col("at") * 4 + F.col("k") + 1, F.lit(1))) - 1
-    bytes_ = F.explode(F.sequence(F.lit(0), F.floor((F.length("dna") + 3) / 4).cast("int") - 1))
-    rows = dna(spark, sf_dir).where(F.col("dna").rlike("^[ACGT]*$")).select("doc_id", "dna", bytes_.alias("at"))
-    part = lambda k: F.greatest(F.lit(0), F.instr(F.lit("ACGT"), F.substring(F.col("dna"), F.col("at") * 4 + k + 1, F.lit(1))) - 1) * (1 << 2 * k)
-    return longs(rows.select("doc_id", "at", sum((part(k) for k in range(1, 4)), part(0)).alias("b")))
+    fours = F.posexplode(F.expr("regexp_extract_all(dna, '.{1,4}', 0)")).alias("at", "four")
+    rows = dna(spark, sf_dir).where(F.col("dna").rlike("^[ACGT]*$")).select("doc_id", fours)
+    part = lambda k: F.greatest(F.lit(0), F.instr(F.lit("ACGT"), F.substring("four", k + 1, 1)) - 1) * (1 << 2 * k)
+    return longs(rows.select("doc_id", "at", sum((F.when(F.length("four") > k, part(k)).otherwise(0) for k in range(1, 4)), part(0)).alias("b")))
 
 
 @query(
