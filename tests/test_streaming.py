@@ -44,3 +44,29 @@ def test_machine_waits_for_missing_slices():
     assert done and error == 0 and list(machine.take(2, b"c", False)) == []
     broken = processors.Machine("decode", 0, "host")
     assert [x[2:] for x in broken.take(0, b"x" * 40, True)] == [(True, -2)]
+
+
+@pytest.mark.parametrize("profile", ["deployable", "host"])
+def test_state_rows_restore_machines(profile):
+    """A machine put away and taken back after every slice makes the same bytes."""
+    r = random.Random(4)
+    data = np.cumsum([r.randint(-400, 400) if i % 700 > 300 else 0 for i in range(2000)]).astype("<i2").tobytes()
+
+    def through(kind, data, cut):
+        out, row = b"", None
+        pieces = [data[i : i + cut] for i in range(0, len(data), cut)]
+        for i, piece in enumerate(pieces):
+            machine = processors.Machine(kind, 1, profile)
+            if row is not None:
+                machine.restore(row)
+            for _, made, _, error in machine.take(i, piece, i == len(pieces) - 1):
+                assert error == 0
+                out += made
+            row = machine.row()
+            assert len(row) == len(processors.STATE.split(", "))
+        return out
+
+    coded = through("encode", data, 133)
+    encoder = container.Encoder(1, profile)
+    assert coded == encoder.push(data) + encoder.finish()
+    assert through("decode", coded, 71) == data
