@@ -150,7 +150,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, text, rest): texts dealt by document; rest holds all other columns."""
     others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    # rows without an id are dealt apart; rows of one key and text have the same repeats, so a clash of keys changes nothing
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)))
     rows = docs.select(key.alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"))
     return rows.repartition(shuffle_partitions(docs.sparkSession), "k1", "k2")
 
@@ -313,7 +314,7 @@ def repeats(dealt: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = C
     members = texts.mapInArrow(find, places)
     back = members.join(verdicts, (F.col("gram") == F.col("s_gram")) & (F.col("context") == F.col("s_context")))
     back = back.select("k1", "k2", "place", "windows").mapInArrow(spread, "k1 long, k2 long, runs array<int>")
-    return back.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return back.groupBy("k1", "k2").agg(F.flatten(F.collect_set("runs")).alias("runs"))  # repeated rows tell the same runs again
 
 
 def merge(runs: list[int] | None) -> list[tuple[int, int]]:

@@ -68,6 +68,16 @@ def test_suffix_dedup_of_dense_repeats(spark, span, gram, letters):
         assert sorted(map(tuple, suffix_dedup.digests(docs, span, gram, crowd).collect()), key=str) == brute.suffix_digests(rows, span)
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    """Rows of one id and text, and rows without an id, however often they are repeated."""
+    r = random.Random(17)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    once, twice, none = say(900), say(700), say(800)
+    rows = [(1, once)] + [(2, twice)] * 300 + [(None, none)] * 300 + [(3, once[100:400] + say(50)), (None, say(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, suffix_dedup.digests(docs).collect()), key=str) == brute.suffix_digests(rows)
+
+
 def test_suffix_cut_keeps_characters(docs, empty):
     out = suffix_dedup.cut(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and suffix_dedup.cut(empty).count() == 0
