@@ -68,7 +68,7 @@ def sample(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
     """sized (columns key, source, size) with source_size, target and copies.  key orders rows of a source and size."""
     spark = sized.sparkSession
     goal = targets(sized, weights, share, cap)
-    spread = F.xxhash64("key")
+    spread = F.md5(F.col("key").cast("string"))
     dealt = sized.repartitionByRange(shuffle_partitions(spark), F.col("source").asc_nulls_last(), "size", spread, "key")
     dealt = dealt.sortWithinPartitions(F.col("source").asc_nulls_last(), "size", spread, "key").withColumn("at", F.monotonically_increasing_id())
     dealt = settle(dealt.withColumn("part", F.shiftright("at", 33)))
@@ -79,7 +79,8 @@ def sample(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
     held = held.join(goal, F.col("h_source").eqNullSafe(F.col("g_source"))).drop("g_source")
     ranked = dealt.join(held, (dealt.part == held.h_part) & dealt.source.eqNullSafe(held.h_source))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("")))), 1, 5)  # 20 bits
+    offset = F.conv(drawn, 16, 10).cast("long") / F.lit(float(1 << 20))
     rank = F.col("at") + F.col("base")
     copies = F.floor(offset + rate * (rank + 1)) - F.floor(offset + rate * rank)
     return ranked.select(*sized.columns, "source_size", "target", copies.cast("long").alias("copies"))

@@ -52,5 +52,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
   coalesce(array_to_string(l, ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 
+MIXING = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM s),
+v AS (SELECT *, CAST([3, 1, 2][(turn - 1) % 3 + 1] AS DOUBLE) AS weight FROM w),
+o AS (SELECT *, row_number() OVER (ORDER BY 2::DOUBLE * source_size / weight, turn) AS k FROM v WHERE source_size > 0),
+p AS (SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(2::DOUBLE * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass FROM o),
+f AS (SELECT arg_min(rest / mass, k) AS level, min(k) AS k FROM p WHERE 2::DOUBLE * source_size > rest / mass * weight),
+t AS (SELECT p.source, p.source_size, CASE WHEN p.k < coalesce(f.k, p.k + 1) THEN 2::DOUBLE * source_size ELSE f.level * weight END AS target FROM p, f
+  UNION ALL SELECT source, source_size, 0::DOUBLE FROM s WHERE source_size = 0),
+r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  CAST('0x' || substr(md5('7/' || coalesce(d.source, '')), 1, 5) AS BIGINT) / 1048576::DOUBLE AS z,
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5(CAST(doc_id AS VARCHAR)) NULLS FIRST, doc_id NULLS FIRST) - 1 AS n FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target, CAST((floor(z + rate * (n + 1)) - floor(z + rate * n)) * size AS BIGINT) AS taken FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": SUFFIX, "op3_topk_search": TOPK, "op5_license_scan": license_scan()}
+    return {"op7_source_mixing": MIXING, "op2_suffix_dedup": SUFFIX, "op3_topk_search": TOPK, "op5_license_scan": license_scan()}

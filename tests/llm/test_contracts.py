@@ -372,7 +372,7 @@ def test_mixing_copies_by_systematic_sampling(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "b", "c", None])) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
-    hashed = {x.doc_id: x for x in docs.select("doc_id", "source", F.xxhash64("doc_id").alias("h"), F.xxhash64(F.lit(7), "source").alias("s"), mixing.word_count(F.col("text")).alias("n")).collect()}
+    hashed = {x.doc_id: x for x in docs.select("doc_id", "source", F.md5(F.col("doc_id").cast("string")).alias("h"), F.md5(F.concat(F.lit("7/"), F.coalesce("source", F.lit("")))).alias("s"), mixing.word_count(F.col("text")).alias("n")).collect()}
     found = {x.doc_id: x for x in mixing.mix(docs).collect()}
     sizes = {}
     for x in hashed.values():
@@ -380,7 +380,7 @@ def test_mixing_copies_by_systematic_sampling(spark):
     goal = brute.targets(sizes)
     for source, size in sizes.items():
         own = sorted((x for x in hashed.values() if x.source == source), key=lambda x: (x.n, x.h, x.doc_id))
-        rate, offset = goal[source] / size, (own[0].s % (1 << 20)) / (1 << 20)
+        rate, offset = goal[source] / size, int(own[0].s[:5], 16) / (1 << 20)
         for rank, x in enumerate(own):
             copies = math.floor(offset + rate * (rank + 1)) - math.floor(offset + rate * rank)
             assert found[x.doc_id].taken == copies * x.n

@@ -9,7 +9,7 @@ from serixa.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got = queries.queries()[name](spark, sf_dir)
     want = con.execute(queries.oracle_sql()[name])
