@@ -73,13 +73,11 @@ def encode(z: np.ndarray) -> bytes:
     return pack_fields(*fields(z))
 
 
-def read_blocks(reader: BitReader, count: int) -> np.ndarray:
-    """count residuals; a run that passes the end is an error.
+def walk(data: bytes, at: int, end: int, blocks: int) -> tuple[list[int], list[int], list[int], int]:
+    """(blocks with residuals, bit each one's residuals begin at, their widths, bit after the last); data has a byte more than end.
 
-    The headers are walked one by one; the residuals of all blocks of one width are unpacked at once.
+    A run that passes the last block is an error.
     """
-    blocks = -(-count // BLOCK)
-    data, at, end = reader.data + b"\0", reader.at, reader.end
     held, places, sizes = [], [], []
     done = 0
     while done < blocks:
@@ -104,15 +102,42 @@ def read_blocks(reader: BitReader, count: int) -> np.ndarray:
             at += 13
             if done > blocks:
                 raise CodecError(SRC, "zero run passes the end")
-    begin = reader.at >> 3
-    bits = np.unpackbits(np.frombuffer(reader.data[begin : at + 7 >> 3], np.uint8), bitorder="little")
-    reader.at = at
+    return held, places, sizes, at
+
+
+def unpack(data: bytes, blocks: int, held: list[int], places: list[int], sizes: list[int]) -> np.ndarray:
+    """Residuals of all blocks, those of one width at once."""
     out = np.zeros((blocks, BLOCK), np.int64)
-    held, places, sizes = np.array(held, np.int64), np.array(places, np.int64) - 8 * begin, np.array(sizes, np.int64)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    held, places, sizes = np.array(held, np.int64), np.array(places, np.int64), np.array(sizes, np.int64)
     for nb in np.flatnonzero(np.bincount(sizes, minlength=1)).tolist():
         own = np.flatnonzero(sizes == nb)
         out[held[own]] = bits[places[own, None] + np.arange(BLOCK * nb)].reshape(-1, BLOCK, nb) @ (1 << np.arange(nb, dtype=np.int64))
-    return out.ravel()[:count]
+    return out.ravel()
+
+
+def read_blocks(reader: BitReader, count: int) -> np.ndarray:
+    """count residuals from where the reader stands."""
+    blocks, begin = -(-count // BLOCK), reader.at >> 3
+    held, places, sizes, at = walk(reader.data + b"\0", reader.at, reader.end, blocks)
+    out = unpack(reader.data[begin : at + 7 >> 3], blocks, held, [p - 8 * begin for p in places], sizes)
+    reader.at = at
+    return out[:count]
+
+
+def decode_tiles(tiles: list[bytes], counts: list[int]) -> list[np.ndarray]:
+    """decode() of each tile, all at once."""
+    data, held, places, sizes, first, at = b"".join(tiles), [], [], [], [0], 0
+    padded = data + b"\0"
+    for tile, count in zip(tiles, counts):
+        own, bits, widths_, _ = walk(padded, 8 * at, 8 * (at + len(tile)), -(-count // BLOCK))
+        held += [first[-1] + h for h in own]
+        places += bits
+        sizes += widths_
+        first.append(first[-1] - (-count // BLOCK))
+        at += len(tile)
+    out = unpack(data, first[-1], held, places, sizes)
+    return [out[BLOCK * f : BLOCK * f + n] for f, n in zip(first, counts)]
 
 
 def decode(data: bytes, count: int) -> np.ndarray:
