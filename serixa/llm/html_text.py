@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -180,6 +181,7 @@ class Page:
 
     def __init__(self):
         self.open: list[str] = []
+        self.counts: Counter[str] = Counter()  # of the open elements, so that deep pages aren't searched for what isn't there
         self.flows = [Flow()]
         self.tables: list[Table] = []
         self.hidden: list[int] = []  # depths of the elements without boxes that are open
@@ -206,9 +208,9 @@ class Page:
             self.close_until(*IMPLIED[tag])
         if tag in CLOSE_P:
             self.close_until(frozenset(("p",)), P_SCOPE)
-        if tag in ("html", "body") and tag in self.open:
+        if tag in ("html", "body") and self.counts[tag]:
             return
-        if tag in ("td", "th") and "tr" not in self.open[self.last("table") + 1 :] and "table" in self.open:
+        if tag in ("td", "th") and self.counts["table"] and self.last("tr") < self.last("table"):
             self.start("tr", "")
         known = dict((k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)) if attributes and not attributes.isspace() else {}
         style = known.get("style", "")
@@ -221,6 +223,7 @@ class Page:
                 self.void(tag, known)
             return
         self.open.append(tag)
+        self.counts[tag] += 1
         if found := VISIBILITY.findall(style):
             self.unseen.append((len(self.open), found[-1].lower() != "visible"))
         if tag == "details" and "open" not in known:
@@ -268,6 +271,8 @@ class Page:
             self.text(known.get("value", ""))
 
     def last(self, tag: str) -> int:
+        if not self.counts[tag]:
+            return -1
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i] == tag:
                 return i
@@ -275,6 +280,8 @@ class Page:
 
     def close_until(self, tags: frozenset, scope: frozenset) -> None:
         """Closes the open elements down to the outermost of `tags` within the scope."""
+        if not any(self.counts[t] for t in tags):
+            return
         at = None
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i] in scope:
@@ -288,6 +295,8 @@ class Page:
         if tag == "br":
             self.start("br", "")
             return
+        if not self.counts[tag]:
+            return
         at = None
         for i in range(len(self.open) - 1, -1, -1):
             own = self.open[i]
@@ -306,13 +315,14 @@ class Page:
 
     def drop(self, at: int) -> None:
         """Ends an inline element around open blocks, which stay open."""
-        del self.open[at]
+        self.counts[self.open.pop(at)] -= 1
         self.hidden = [d - (d > at + 1) for d in self.hidden if d != at + 1]
         self.closed = [[d - (d > at + 1), s] for d, s in self.closed if d != at + 1]
         self.unseen = [(d - (d > at + 1), u) for d, u in self.unseen if d != at + 1]
 
     def pop(self) -> None:
         depth, tag = len(self.open), self.open.pop()
+        self.counts[tag] -= 1
         if self.unseen and self.unseen[-1][0] == depth:
             self.unseen.pop()
         if self.closed and self.closed[-1][0] == depth:
