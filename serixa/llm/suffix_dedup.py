@@ -150,8 +150,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, text, rest): texts dealt by document; rest holds all other columns."""
     others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # rows without an id are dealt apart; rows of one key and text have the same repeats, so a clash of keys changes nothing
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)))
+    # rows of one key and text have the same repeats, so a clash of keys changes nothing
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"))
     return rows.repartition(shuffle_partitions(docs.sparkSession), "k1", "k2")
 
